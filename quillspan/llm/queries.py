@@ -6,17 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bytebpe
+from quillspan.llm import bytebpe, splits, topgroups
 from quillspan.sources.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    scores, chunks = table(spark, d, "skorlar", "soru_id", "chunk_id", "skor", "yazildi"), table(spark, d, "chunks", "chunk_id", "doc")
+    return topgroups.best_chunks(scores, chunks).select("soru_id", "doc", "chunk_id")
+
+
+#: The same by one window over all rows.
+P1_FOUND = """
+WITH finite_rows AS (SELECT * FROM skorlar WHERE isfinite(skor) AND soru_id IS NOT NULL AND chunk_id IS NOT NULL),
+once AS (SELECT soru_id, chunk_id, skor FROM finite_rows
+         QUALIFY row_number() OVER (PARTITION BY soru_id, chunk_id ORDER BY yazildi DESC NULLS LAST, skor DESC) = 1),
+known AS (SELECT chunk_id, coalesce(min(doc), split_part(chunk_id, '#', 1)) AS doc FROM chunks WHERE chunk_id IS NOT NULL GROUP BY chunk_id)
+SELECT soru_id, doc, chunk_id FROM once JOIN known USING (chunk_id)
+QUALIFY row_number() OVER (PARTITION BY soru_id, doc ORDER BY skor DESC, chunk_id) <= 5
+"""
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.question_groups(table(spark, d, "sorular", "kayit_no", "financebench_id", "doc_name"))
+
+
+#: Components by spreading the smallest name along links until nothing changes.
+P4_FOUND = r"""
+WITH RECURSIVE named AS (
+  SELECT kayit_no, nullif(regexp_replace(lower(financebench_id), '[^a-z0-9]', '', 'g'), '') AS id,
+         nullif(regexp_replace(regexp_replace(lower(doc_name), '\.pdf\s*$', ''), '[^a-z0-9]', '', 'g'), '') AS doc FROM sorular),
+links AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT DISTINCT id, doc FROM named) x JOIN (SELECT DISTINCT id, doc FROM named) y USING (doc)),
+reach AS (SELECT DISTINCT id AS a, id AS b FROM named UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+first AS (SELECT a AS id, min(b) AS name FROM reach GROUP BY a)
+SELECT kayit_no, 'financebench_id_' || right(name, 8) AS grup FROM named JOIN first USING (id)
+"""
+
+
+def p4_parts(spark: SparkSession, d: str) -> DataFrame:
+    return splits.question_parts(table(spark, d, "sorular", "kayit_no", "financebench_id", "doc_name"), {"egitim": 0.8, "dogrulama": 0.1, "sinama": 0.1})
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bytebpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids,)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_parts, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_FOUND, "p4_found": P4_FOUND}
