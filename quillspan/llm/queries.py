@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bytebpe, splits, topgroups
+from quillspan.llm import bytebpe, packing, splits, topgroups
 from quillspan.sources.tables import table
 
 
@@ -50,8 +50,12 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bytebpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents", "doc_id", "source", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_parts, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_parts, p6_ids, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -71,7 +71,9 @@ def components(edges: DataFrame, edges_per_part: int = EDGES_PER_PART) -> DataFr
     found = levels[-1].select("node", F.col("up").alias("component"))
     for up in reversed(levels[:-1]):
         later = found.select(F.col("node").alias("up"), F.col("component").alias("c"))
-        found = up.join(later, "up", "left").select("node", F.coalesce("c", "up").alias("component"))
+        # A name that was a root up to here stands for itself; any other name has moved on to its parent.
+        roots = found.join(up, "node", "left_anti")
+        found = up.join(later, "up", "left").select("node", F.coalesce("c", "up").alias("component")).unionByName(roots)
     return found
 
 
