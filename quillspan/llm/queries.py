@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bytebpe, packing, splits, topgroups
+from quillspan.llm import bytebpe, leakage, packing, splits, topgroups
 from quillspan.sources.tables import table
 
 
@@ -46,6 +46,19 @@ def p4_parts(spark: SparkSession, d: str) -> DataFrame:
     return splits.question_parts(table(spark, d, "sorular", "kayit_no", "financebench_id", "doc_name"), {"egitim": 0.8, "dogrulama": 0.1, "sinama": 0.1})
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    texts = leakage.training_texts(table(spark, d, "finqa", "id", "pre_text", "tablo", "post_text"), table(spark, d, "documents", "doc_id", "text"))
+    return leakage.leaks(table(spark, d, "kilitli_kanit", "fb_soru", "metin"), texts)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.found(_leaks(spark, d))
+
+
+def p5_rapor(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bytebpe.encode_corpus(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -55,7 +68,7 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_parts, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_parts, p5_found, p5_rapor, p6_ids, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
