@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bytebpe, leakage, packing, splits, topgroups
+from quillspan.llm import bytebpe, leakage, packing, quality, splits, topgroups
 from quillspan.sources.tables import table
 
 
@@ -67,8 +67,16 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents", "doc_id", "source", "text"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "tur")
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.measured(table(spark, d, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_parts, p5_found, p5_rapor, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p4_found, p4_parts, p5_found, p5_rapor, p6_ids, p7_containers, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
