@@ -74,6 +74,7 @@ def components(edges: DataFrame, edges_per_part: int = EDGES_PER_PART) -> DataFr
         # A name that was a root up to here stands for itself; any other name has moved on to its parent.
         roots = found.join(up, "node", "left_anti")
         found = up.join(later, "up", "left").select("node", F.coalesce("c", "up").alias("component")).unionByName(roots)
+        found = written(found, "components")
     return found
 
 
@@ -91,7 +92,7 @@ def question_groups(records: DataFrame) -> DataFrame:
     names = named.select("id", "a", "b").distinct()
     component = components(names.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "key")
     keys = names.select(F.coalesce("a", "b").alias("key"), "id").distinct()
-    keys = keys.join(component, "key", "left").select("key", "id", F.coalesce("component", "key").alias("component"))
+    keys = written(keys.join(component, "key", "left").select("key", "id", F.coalesce("component", "key").alias("component")), "keys")
     digits = F.regexp_extract("id", r"^financebenchid(\d{8})$", 1)
     form = F.when(digits != "", F.concat(F.lit("financebench_id_"), digits)).otherwise(F.col("id"))
     first = keys.groupBy("component").agg(F.min(form).alias("grup"))
