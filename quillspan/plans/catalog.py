@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspan.operators import quantities
+from quillspan.sources.tables import table
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    questions = table(spark, d, "sorular", "kayit_no", "financebench_id", "question", "answer")
+    return quantities.stated_quantities(questions, table(spark, d, "cevaplar", "kayit_no", "id", "yanit"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p3_found,)}
 
 
 def oracle_sql() -> dict[str, str]:
