@@ -18,8 +18,8 @@ item without a run that is its own cannot leak; empty tables give no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,13 +28,32 @@ from pyspark.sql import functions as F
 
 from quillspan.session import written
 
-WORD = re.compile("[a-z0-9]+")
+#: Bytes of words, and of the mark that parts texts; all other bytes, also those of wider characters, become blanks.
+KEPT = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789A" else 32 for b in range(256))
+BORDER, SLICE_CHARS = " A ", 2_000_000
 MOST_ITEM_WORDS = 1_000_000
-MATCH, OTHER, GAP = 2, -1, -1
+MATCH, OTHER, GAP, CELL = 2, -1, -1, 8192
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of a-z and 0-9 in the lower-case text; ``A`` is in no lower-case text and stays free for BORDER."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(KEPT).split()
+
+
+def joined(texts: list[str | None]) -> list[bytes]:
+    """The words of all texts, with a border before and after each."""
+    low = BORDER.join(["", *((t or "").lower() for t in texts), ""])
+    return low.encode("utf-8", "surrogatepass").translate(KEPT).split()
+
+
+def runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about SLICE_CHARS characters."""
+    begin = chars = 0
+    for i, size in enumerate(sizes):
+        chars += size
+        if chars >= SLICE_CHARS or i == len(sizes) - 1:
+            yield begin, i + 1
+            begin, chars = i + 1, 0
 
 
 def shared_suffix(items: list[np.ndarray]) -> list[np.ndarray]:
@@ -56,13 +75,20 @@ def shared_suffix(items: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def grams(ids: np.ndarray, n: int, mix: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the n-grams of word numbers; ``mix`` has a random odd number for each word."""
+    """64-bit hashes of the n-grams of word numbers, put together from halves; ``mix`` has a random number for each
+    word, the last one for the border of two texts."""
     if len(ids) < n:
         return np.empty(0, np.uint64)
-    r, out = mix[ids], np.zeros(len(ids) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + r[k : k + len(out)]
-    return out ^ (out >> np.uint64(29))
+    width, power, whole, done = 1, mix[ids], None, 0
+    while True:  # the binary digits of n say which powers of two make up the n-gram
+        if n & width:
+            k = len(ids) - done - width + 1
+            whole = power[:k] if whole is None else whole[:k] * np.uint64(0x9E3779B97F4A7C15) + power[done : done + k]
+            done += width
+        if done == n:
+            return whole ^ (whole >> np.uint64(29))
+        power = power[:-width] * np.uint64(0xC2B2AE3D27D4EB4F) + power[width:] + np.uint64(width)
+        width *= 2
 
 
 class Benchmark:
@@ -72,7 +98,7 @@ class Benchmark:
         split = {k: w for k, t in rows if k is not None and len(w := words_of(t)) >= least}
         self.n, self.least, self.names = n, least, sorted(split)
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for x in split.values() for w in x}))}
-        self.mix = np.random.default_rng(7).integers(1, 2**63, len(self.number) + 1, dtype=np.uint64) | np.uint64(1)
+        self.mix = np.random.default_rng(7).integers(1, 2**63, len(self.number) + 2, dtype=np.uint64) | np.uint64(1)
         self.items = [np.array([self.number[w] for w in split[k]], np.int32) for k in self.names]
         self.longest = max(map(len, self.items), default=0)
         #: The least length of a run that ends at a position and is no other item's.
@@ -100,22 +126,23 @@ def scan(texts: DataFrame, b: Benchmark) -> DataFrame:
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, mix, seeds, sieve = shared.value
+        number = {**number, b"A": -1}
         for batch in batches:
-            out = []
-            for key, text in zip(batch["egitim_id"], batch["text"]):
-                if not text:
-                    continue
-                found = words_of(text)
-                ids = np.fromiter((number.get(w, 0) for w in found), np.int32, len(found))
+            keys, texts, out = batch["egitim_id"].tolist(), batch["text"].tolist(), []
+            for begin, end in runs([len(t or "") for t in texts]):
+                found = joined(texts[begin:end])
+                ids = np.fromiter(map(number.get, found, repeat(0)), np.int32, len(found))
+                border = np.flatnonzero(ids == -1)
                 h = grams(ids, n, mix)
                 at = np.flatnonzero(sieve[h >> np.uint64(44)])
                 at = at[np.isin(h[at], seeds)]
-                if not len(at):
-                    continue
-                for part in np.split(at, np.flatnonzero(np.diff(at) > n + 2 * pad) + 1):
-                    start, end = max(0, int(part[0]) - pad), int(part[-1]) + n + pad
-                    hits = [{"seed": int(h[i].astype(np.int64)), "at": int(i) - start} for i in part]
-                    out.append((key, start, ids[start:end], hits))
+                text = np.searchsorted(border, at) - 1
+                far = (np.diff(at) > n + 2 * pad) | (np.diff(text) > 0)
+                for part in np.split(at, np.flatnonzero(far) + 1) if len(at) else []:
+                    k = int(np.searchsorted(border, part[0])) - 1
+                    first, last = max(int(border[k]) + 1, int(part[0]) - pad), min(int(border[k + 1]), int(part[-1]) + n + pad)
+                    hits = [{"seed": int(h[i].astype(np.int64)), "at": int(i) - first} for i in part]
+                    out.append((keys[begin + k], first - int(border[k]) - 1, ids[first:last], hits))
             yield pd.DataFrame(out, columns=["egitim_id", "region", "words", "hits"])
 
     return texts.mapInPandas(regions, "egitim_id string, region int, words array<int>, hits array<struct<seed: bigint, at: int>>")
@@ -123,34 +150,30 @@ def scan(texts: DataFrame, b: Benchmark) -> DataFrame:
 
 def align(words: list[np.ndarray], items: list[np.ndarray], own: list[np.ndarray]) -> pd.DataFrame:
     """Best local alignment of each pair: its score, the words matched in it, the longest exact run, and whether a
-    run is the item's own."""
+    run is the item's own. A cell holds score * CELL + words matched, so one maximum settles both."""
     m, n = max(map(len, words)), max(map(len, items))
     a, b, need = np.full((len(words), m), -1, np.int32), np.full((len(words), n), -2, np.int32), np.full((len(words), n), n + m, np.int32)
     for k, (w, i, o) in enumerate(zip(words, items, own)):
         a[k, : len(w)], b[k, : len(i)], need[k, : len(i)] = w, i, o
-    score, matched, run = (np.zeros((len(words), m + 1), np.int32) for _ in range(3))
-    best, share, longest, passes = (np.zeros(len(words), np.int64) for _ in range(4))
-    slope = -GAP * np.arange(m + 1, dtype=np.int32)
+    cell, run, best, longest = (np.zeros((len(words), m + 1), np.int32) for _ in range(4))
+    passes = np.zeros((len(words), m + 1), bool)
+    slope = -GAP * CELL * np.arange(m + 1, dtype=np.int32)
     for i in range(n):
         same = a == b[:, i : i + 1]
-        diagonal = score[:, :-1] + np.where(same, MATCH, OTHER)
-        up = score[:, 1:] + GAP
-        now, hit = np.zeros_like(score), np.zeros_like(score)
-        now[:, 1:] = np.maximum(np.maximum(diagonal, up), 0)
-        hit[:, 1:] = np.where(now[:, 1:] == 0, 0, np.where(diagonal >= up, matched[:, :-1] + same, matched[:, 1:]))
+        now = np.zeros_like(cell)
+        np.maximum(cell[:, :-1] + np.where(same, MATCH * CELL + 1, OTHER * CELL), cell[:, 1:] + GAP * CELL, out=now[:, 1:])
+        now[now < CELL] = 0
         # A gap along the text: the best earlier cell of this row, less a cost for each word in between.
-        swept = np.maximum.accumulate(now + slope, axis=1)
-        source = np.maximum.accumulate(np.where(now + slope == swept, np.arange(m + 1), 0), axis=1)
-        hit = np.where(swept - slope > now, np.take_along_axis(hit, source, 1), hit)
-        score, matched = np.maximum(now, swept - slope), hit
-        run[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
-        top = score.argmax(axis=1)
-        value = score[np.arange(len(words)), top]
-        share = np.where(value > best, matched[np.arange(len(words)), top], share)
-        best = np.maximum(best, value)
-        longest = np.maximum(longest, run.max(axis=1))
-        passes |= (run >= need[:, i : i + 1]).any(axis=1)
-    return pd.DataFrame({"puan": best, "ortak": share, "en_uzun": longest, "gecer": passes.astype(bool)})
+        now += slope
+        np.maximum.accumulate(now, axis=1, out=now)
+        now -= slope
+        cell = now
+        run[:, 1:] = (run[:, :-1] + 1) * same
+        np.maximum(best, cell, out=best)
+        np.maximum(longest, run, out=longest)
+        passes |= run >= need[:, i : i + 1]
+    top = best.max(axis=1).astype(np.int64)
+    return pd.DataFrame({"puan": top // CELL, "ortak": top % CELL, "en_uzun": longest.max(axis=1).astype(np.int64), "gecer": passes.any(axis=1)})
 
 
 def leaks(items: DataFrame, texts: DataFrame, least: int = 25, n: int = 12) -> DataFrame:
@@ -161,23 +184,28 @@ def leaks(items: DataFrame, texts: DataFrame, least: int = 25, n: int = 12) -> D
     b = Benchmark([(r[0], r[1]) for r in items.select("fb_soru", "metin").distinct().collect()], least, n)
     if sum(map(len, b.items)) > MOST_ITEM_WORDS:
         raise ValueError("more held-out text than one pass takes: call leaks() for blocks of items whose union is the set")
-    found = written(scan(texts, b), "regions")
+    found = written(scan(texts, b).withColumn("body", F.xxhash64("words")), "regions")
     seeds = F.broadcast(spark.createDataFrame(b.seeds, "seed long, fb_soru string, item_at int"))  # within MOST_ITEM_WORDS rows
-    pairs = found.select("egitim_id", "region", F.explode("hits").alias("hit")).select("egitim_id", "region", "hit.seed")
-    pairs = pairs.join(seeds, "seed").select("egitim_id", "region", "fb_soru").distinct()
-    regions = found.select("egitim_id", "region", "words").dropDuplicates(["egitim_id", "region"])
+    hits = found.select("egitim_id", "region", "body", F.explode("hits").alias("hit")).select("egitim_id", "region", "body", "hit.*").join(seeds, "seed")
+    diagonal = F.col("at") - F.col("item_at")
+    pairs = hits.groupBy("egitim_id", "region", "body", "fb_soru").agg(F.min(diagonal).alias("low"), F.max(diagonal).alias("high"))
+    regions = found.select("egitim_id", "region", "body", "words").dropDuplicates(["egitim_id", "region", "body"])
     place = {name: k for k, name in enumerate(b.names)}
     shared = spark.sparkContext.broadcast((place, b.items, b.own))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place, items, own = shared.value
         for batch in batches:
+            # The part of the region that the item can cover from its hits, with a quarter of its length to spare.
+            length = np.array([len(items[place[x]]) for x in batch["fb_soru"]], np.int64)
+            low, high = batch["low"].to_numpy() - length // 4, batch["high"].to_numpy() + length + length // 4
+            batch = batch.assign(words=[w[max(0, a) : b] for w, a, b in zip(batch["words"], low, high)])
             size = batch["words"].map(len)
             batch = batch.iloc[np.argsort(size.to_numpy(), kind="stable")]
             begin = 0
             while begin < len(batch):
-                # About a million cells a step, however long the regions are.
-                step = max(1, 100_000 // (max(1, len(batch["words"].iloc[begin])) + 300))
+                # About 100,000 cells a row, however long the regions are.
+                step = max(1, 100_000 // (max(1, len(batch["words"].iloc[begin])) + 100))
                 part = batch.iloc[begin : begin + step]
                 at = [place[x] for x in part["fb_soru"]]
                 result = align(part["words"].tolist(), [items[k] for k in at], [own[k] for k in at])
@@ -185,7 +213,7 @@ def leaks(items: DataFrame, texts: DataFrame, least: int = 25, n: int = 12) -> D
                 yield pd.concat([part[["fb_soru", "egitim_id"]].reset_index(drop=True), result], axis=1)
                 begin += step
 
-    scored = pairs.join(regions, ["egitim_id", "region"]).select("fb_soru", "egitim_id", "words")
+    scored = pairs.join(regions, ["egitim_id", "region", "body"]).select("fb_soru", "egitim_id", "low", "high", "words")
     scored = scored.mapInPandas(score, "fb_soru string, egitim_id string, puan bigint, ortak bigint, en_uzun bigint, gecer boolean, kapsama double")
     best = F.max(F.struct("puan", "ortak", "en_uzun", "kapsama")).alias("best")
     return scored.groupBy("fb_soru", "egitim_id").agg(best, F.max("gecer").alias("gecer")).select("fb_soru", "egitim_id", "best.*", "gecer")
