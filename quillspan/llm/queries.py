@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspan.llm import bytebpe, leakage, packing, quality, splits, topgroups
+from quillspan.llm import bytebpe, defects, leakage, packing, quality, splits, topgroups
 from quillspan.sources.tables import table
 
 
@@ -26,6 +26,18 @@ QUALIFY row_number() OVER (PARTITION BY soru_id, doc ORDER BY skor DESC, chunk_i
 """
 
 
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    return defects.tagged(table(spark, d, "cevaplar", "kayit_no", "id", "yanit"), table(spark, d, "sorular", "financebench_id", "question"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged(spark, d).where("kusur IS NOT NULL").select("kayit_no", "kusur")
+
+
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged(spark, d)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.question_groups(table(spark, d, "sorular", "kayit_no", "financebench_id", "doc_name"))
 
@@ -76,7 +88,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p4_found, p4_parts, p5_found, p5_rapor, p6_ids, p7_containers, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_coverage, p4_found, p4_parts, p5_found, p5_rapor, p6_ids, p7_containers, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
