@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.operators import quantities
+from quillspan.plans import answers, audits, evaluation, retrieval
 from quillspan.sources.tables import table
 
 
@@ -15,9 +16,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return quantities.stated_quantities(questions, table(spark, d, "cevaplar", "kayit_no", "id", "yanit"))
 
 
+MODULES = (retrieval, evaluation, answers, audits)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found,)}
+    found = {"p3_found": p3_found}
+    for module in MODULES:
+        found |= module.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found: dict[str, str] = {}
+    for module in MODULES:
+        found |= module.SQL
+    return found
