@@ -16,21 +16,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.operators.ranking import finite, latest_score
 from quillspan.session import written
 
 
-def finite(column: F.Column) -> F.Column:
-    return column.isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf"))
-
-
-def latest_score(scores: DataFrame, keys: list[str], score: str, time: str) -> DataFrame:
-    """One row per ``keys`` with the finite score of the latest ``time``; a null time is the earliest, and of equal
-    times the higher score counts. The aggregation is partial before the shuffle, so hot pairs arrive reduced."""
-    order = F.struct(F.coalesce(F.col(time), F.lit("0001-01-01").cast("timestamp")).alias("t"), F.col(score).cast("double").alias("s"))
-    kept = scores.where(finite(F.col(score).cast("double")) & reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
-    return kept.groupBy(*keys).agg(F.max(order)["s"].alias(score))
-
-
 def band_cuts(scores: DataFrame, score: str, shares: tuple[float, ...]) -> list[float]:
     """Scores above which about each of ``shares`` of the rows lie; sketches, never rows, reach the driver."""
     found = scores.select(F.col(score).cast("double").alias("s")).where(finite(F.col("s"))).approxQuantile("s", [1 - x for x in shares], 0.01)
