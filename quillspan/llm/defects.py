@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +30,8 @@ from quillspan.operators.quantities import LANGUAGE_WORDS, LEXICON
 TAGS = ["other", "answer", "refusal", "echo", "foreign", "unfinished"]
 OTHER, ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(6)
 BUCKETS = 1 << 13
+#: Clauses of the longest answer that the CRF is trained on; any number is tagged.
+LONGEST_TAUGHT = 16
 
 MARK = re.compile(r"^\W*final\s+answer[\s*_]*[:=\-–—]?[\s*_]*", re.I)
 SOURCES = re.compile(r"^\W*sources?\b\W*", re.I)
@@ -203,37 +205,39 @@ class Crf:
 
     def fit(self, sequences: list[list[list[int]]], tags: list[list[int]], steps: int = 60, rate: float = 0.15, ridge: float = 1e-4) -> Crf:
         """Maximum likelihood with a small ridge: gradients by forward and backward sums, steps by Adam."""
-        flat, bounds, n = self.batch(sequences)
+        order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))  # the live ones at a place come first
+        flat, bounds, n = self.batch([sequences[i] for i in order])
         size, length, k = len(n), int(n.max()), len(TAGS)
+        live = [int((n > t).sum()) for t in range(length)]
         inside = np.arange(length)[None, :] < n[:, None]
         gold = np.zeros((size, length, k))
-        gold[inside, np.array([t for s in tags for t in s])] = 1
+        gold[inside, np.array([t for i in order for t in tags[i]])] = 1
         owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        end = np.zeros((size, length))
-        end[np.arange(size), n - 1] = 1
-        pairs = (gold[:, :-1, :, None] * gold[:, 1:, None, :]).sum(axis=(0, 1))
+        final = (np.arange(size), n - 1)
+        pairs = np.einsum("sti,stj->ij", gold[:, :-1], gold[:, 1:])
         params = [self.w, self.pair, self.first, self.last]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
-            e = self.emissions(flat, bounds, n)
+            e, move = self.emissions(flat, bounds, n), np.exp(self.pair)
             alpha, beta = np.zeros_like(e), np.zeros_like(e)
             alpha[:, 0] = e[:, 0] + self.first
+            beta[final] = self.last
             for t in range(1, length):
-                alpha[:, t] = np.logaddexp.reduce(alpha[:, t - 1, :, None] + self.pair[None], axis=1) + e[:, t]
-            beta[end.astype(bool)] = self.last
-            for t in range(length - 2, -1, -1):
-                back = np.logaddexp.reduce(self.pair[None] + (e[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-                beta[:, t] = np.where((t < n - 1)[:, None], back, beta[:, t])
-            total = np.logaddexp.reduce(alpha[np.arange(size), n - 1] + self.last, axis=1)
-            p = np.exp(alpha + beta - total[:, None, None]) * inside[:, :, None]
+                x = alpha[: live[t], t - 1]
+                top = x.max(axis=1, keepdims=True)
+                alpha[: live[t], t] = np.log(np.exp(x - top) @ move) + top + e[: live[t], t]
+            total = np.logaddexp.reduce(alpha[final] + self.last, axis=1)
             both = np.zeros((k, k))
-            for t in range(length - 1):
-                live = t + 1 < n
-                x = alpha[live, t, :, None] + self.pair[None] + (e[live, t + 1] + beta[live, t + 1])[:, None, :] - total[live, None, None]
-                both += np.exp(x).sum(axis=0)
+            for t in range(length - 1, 0, -1):
+                x, y = alpha[: live[t], t - 1], e[: live[t], t] + beta[: live[t], t]
+                top_x, top_y = x.max(axis=1, keepdims=True), y.max(axis=1, keepdims=True)
+                y = np.exp(y - top_y)
+                beta[: live[t], t - 1] = np.log(y @ move.T) + top_y
+                both += (np.exp(x - top_x) * np.exp(top_x + top_y - total[: live[t], None])).T @ y
+            p = np.exp(alpha + beta - total[:, None, None]) * inside[:, :, None]
             diff = (gold - p)[inside]
             grad_w = np.column_stack([np.bincount(flat, diff[owner, j], BUCKETS) for j in range(k)])
-            grads = [grad_w, pairs - both, (gold[:, 0] - p[:, 0]).sum(axis=0), ((gold - p) * end[:, :, None]).sum(axis=(0, 1))]
+            grads = [grad_w, pairs - both * move, (gold[:, 0] - p[:, 0]).sum(axis=0), (gold - p)[final].sum(axis=0)]
             for i, (g, x) in enumerate(zip(grads, params)):
                 g = g / size - ridge * x
                 m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
@@ -279,7 +283,7 @@ def training_set(rows: list[tuple[str | None, str | None]], seed: int = 5) -> tu
     x, y = [], []
 
     def add(record: Record, tags: list[int]) -> None:
-        if record.clauses and len(record.clauses) == len(tags) <= 60:
+        if record.clauses and len(record.clauses) == len(tags) <= LONGEST_TAUGHT:
             x.append(record.features())
             y.append(tags)
 
@@ -358,20 +362,20 @@ def tagged(answers: DataFrame, questions: DataFrame, sample_rows: int = 4000) ->
     is trained on, chosen by a hash of the text; its weights (BUCKETS by tags) are broadcast."""
     spark = answers.sparkSession
     asked = questions.where("financebench_id IS NOT NULL").groupBy(F.col("financebench_id").alias("id")).agg(F.min("question").alias("question"))
-    joined = answers.select("kayit_no", "id", "yanit").join(asked, "id", "left").select("kayit_no", "yanit", "question")
+    joined = answers.select(F.col("kayit_no").cast("bigint").alias("kayit_no"), "id", "yanit").join(asked, "id", "left").select("kayit_no", "yanit", "question")
     keep = max(1, answers.count() // sample_rows)
     sample = joined.where(F.pmod(F.xxhash64("yanit", "question"), F.lit(keep)) == 0).select("yanit", "question").limit(2 * sample_rows).toPandas()
     sample = sample.sort_values(["question", "yanit"], ignore_index=True, na_position="first")
     x, y = training_set([(a, q) for a, q in zip(sample["yanit"], sample["question"])])
     model = spark.sparkContext.broadcast(Crf().fit(x, y) if x else Crf())
 
-    def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, len(batch), 1000):
-                part = batch.iloc[begin : begin + 1000]
-                records = [Record(a, q) for a, q in zip(part["yanit"], part["question"])]
+            for begin in range(0, batch.num_rows, 1000):
+                part = batch.slice(begin, 1000)
+                records = [Record(a, q) for a, q in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 found = [defect(r, settled(r, t)) for r, t in zip(records, model.value.best([r.features() for r in records]))]
-                shares = pd.DataFrame([s for _, s in found], columns=TAGS, index=part.index)
-                yield pd.concat([part[["kayit_no"]], pd.Series([k for k, _ in found], part.index, dtype="object", name="kusur"), shares], axis=1)
+                shares = [pa.array([s[i] for _, s in found], pa.float64()) for i in range(len(TAGS))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k for k, _ in found], pa.string()), *shares], names=["kayit_no", "kusur", *TAGS])
 
-    return joined.mapInPandas(tag, "kayit_no bigint, kusur string, " + ", ".join(f"`{t}` double" for t in TAGS))
+    return joined.mapInArrow(tag, "kayit_no bigint, kusur string, " + ", ".join(f"`{t}` double" for t in TAGS))
