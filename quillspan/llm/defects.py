@@ -35,7 +35,7 @@ LONGEST_TAUGHT = 16
 
 MARK = re.compile(r"^\W*final\s+answer[\s*_]*[:=\-–—]?[\s*_]*", re.I)
 SOURCES = re.compile(r"^\W*sources?\b\W*", re.I)
-WHOLE_SOURCE = re.compile(r"(\bnone|\d)[\W_]*$", re.I)
+WHOLE_SOURCE = re.compile(r"(\bnone|,\s*(?:pages?|p\.?|sayfa|seite)?\s*\d+)[\W_]*$", re.I)
 LEAD = re.compile(r"^([^\d:.?!]{2,40}?)\s*:\s+(?=\S)|^([^\d:.?!]{2,40}?)\s*:$")
 SENTENCE = re.compile(r"(?<=[.!?])(?<!Mio\.)(?<!Mrd\.)(?<!Tsd\.)(?<!U\.S\.)\s+(?=[^\sa-zğışçöü(])")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")

@@ -7,7 +7,7 @@ window to window. Shards are packed in parallel: a shard packs all its texts, so
 beforehand, and the deficits with which a shard begins are the sums over the shards before it.
 
 A text longer than a container is cut into full containers and a rest, which is packed as an item. Windows that end
-up less full than ``close_at`` are opened again and their items packed together in a second round, so that the loss is
+up less full than ``close_at`` are opened again and their items are packed together in a second round, so that the loss is
 a few containers per ITEMS_PER_SHARD left-over items and not per shard.
 
 Defined results: texts without tokens (null, empty) take no room and lie at the start of the first window of their
@@ -90,7 +90,7 @@ def pack_round(items: DataFrame, shards: int, capacity: int) -> DataFrame:
     all_before = all_before.select("shard", F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("all"))
     carried = by_source.join(F.broadcast(all_before), "shard")  # a row for each shard
     carried = carried.select("shard", "source", (F.coalesce(F.sum("t").over(before), F.lit(0)) - F.col("share") * F.col("all")).alias("used"))
-    kinds = "doc_id bigint, source string, piece int, n_tokens bigint, share double, shard bigint, window int, at bigint, filled bigint"
+    kinds = "doc_id string, source string, piece int, n_tokens bigint, share double, shard bigint, window int, at bigint, filled bigint"
     return items.join(carried, ["shard", "source"]).groupBy("shard").applyInPandas(packer(capacity), kinds)
 
 
@@ -100,7 +100,8 @@ def pack(documents: DataFrame, capacity: int = 4096, targets: DataFrame | None =
     ``targets`` (source, share) are the token proportions to keep to while a source lasts; by default those of the
     corpus. A source that ``targets`` lacks has the least share given.
     """
-    plain = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")
+    # Ids travel as text, so that pandas keeps nulls and large numbers apart.
+    plain = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")
     sizes = written(bytebpe.encode_corpus(plain, "doc_id", "text", vocabulary, counts_only=True, keep=("source",)), "sizes")
     texts, tokens = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     if targets is None:
@@ -118,4 +119,4 @@ def pack(documents: DataFrame, capacity: int = 4096, targets: DataFrame | None =
     again = open_.select("doc_id", "source", "piece", "n_tokens", "share")
     second = pack_round(again, max(1, -(-again.count() // ITEMS_PER_SHARD)), capacity)
     closed = first.where(F.col("filled") >= int(close_at * capacity)).withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
-    return closed.select("doc_id", "source", "piece", "n_tokens", F.concat_ws("-", "round", "shard", "window").alias("container"), "at")
+    return closed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "piece", "n_tokens", F.concat_ws("-", "round", "shard", "window").alias("container"), "at")

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +135,7 @@ class Statistics:
             n_words, by_text(ink) / k, words[:, 0], letters / size, digits / size, (by_text(ink) - letters - digits - by_text(broken)) / size,
             by_text(broken) / size, words[:, 1], words[:, 2],
             by_text(np.where(cells, length, 0)) / size, by_text(np.where(entry, length, 0)) / size,
-            by_text((filled & opening).astype(np.int64)) / lines, by_text((filled & closing).astype(np.int64)) / lines, size / lines, n_words / lines,
+            by_text((filled & opening).astype(np.int64)) / lines, by_text((filled & closing).astype(np.int64)) / lines, (n - 1) / lines, n_words / lines,
             by_text(by_line(change)) / k, by_text(np.add.reduceat(long, line_start)) / size, words[:, 3],
         ])
 
@@ -152,18 +153,20 @@ class Statistics:
 
 
 def measured(documents: DataFrame, text: str = "text") -> DataFrame:
-    """All other columns of ``documents`` and the statistics of ``text``, in one narrow stage."""
-    kept = [c for c in documents.columns if c != text]
+    """All other columns of ``documents`` and the statistics of ``text``, in one narrow stage. Columns that bear the
+    name of a statistic are replaced by it."""
+    kept = [c for c in documents.columns if c != text and c not in STATISTICS]
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         statistics = Statistics()
         for batch in batches:
-            values = pd.DataFrame(statistics(batch[text].tolist()), columns=STATISTICS, index=batch.index)
-            yield pd.concat([batch[kept], values.astype({"n_words": "int64"})], axis=1)
+            values = statistics(batch.column(len(kept)).to_pylist())
+            columns = [pa.array(v, pa.float64()) if s != "n_words" else pa.array(v.astype(np.int64)) for s, v in zip(STATISTICS, values.T)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*kept, *STATISTICS])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields if f.name != text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*kept).schema.fields)
     kinds = ", ".join(f"{s} {'bigint' if s == 'n_words' else 'double'}" for s in STATISTICS)
-    return documents.select(*kept, text).mapInPandas(measure, f"{schema}, {kinds}")
+    return documents.select(*kept, text).mapInArrow(measure, f"{schema}, {kinds}")
 
 
 #: Labelling rules: (kind, condition). A row that rules of several kinds or of none claim stays unlabelled.

@@ -22,6 +22,8 @@ from quillspan.session import written
 
 def band_cuts(scores: DataFrame, score: str, shares: tuple[float, ...]) -> list[float]:
     """Scores above which about each of ``shares`` of the rows lie; sketches, never rows, reach the driver."""
+    if not shares:
+        return []
     found = scores.select(F.col(score).cast("double").alias("s")).where(finite(F.col("s"))).approxQuantile("s", [1 - x for x in shares], 0.01)
     return sorted(set(found), reverse=True)
 
