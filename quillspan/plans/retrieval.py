@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators import chunking, dense, lexical, ranking
+from quillspan.operators import ann, chunking, dense, lexical, ranking
 from quillspan.plans import shared as S
 from quillspan.session import new_path
 from quillspan.sources.tables import table
@@ -113,6 +113,25 @@ def dense_filtered_top10(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(queries, corpus, 10, same="label").select("query", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
+#: Cells of the approximate index, and how many of them a query looks into.
+CELLS, PROBES = 16, 12
+
+
+def _approximate(spark: SparkSession, d: str) -> DataFrame:
+    queries, corpus = _vectors(spark, d)
+    centres = ann.centroids(corpus, CELLS)
+    return ann.search(queries, ann.indexed(corpus, centres), centres, 10, PROBES)
+
+
+def ann_top10(spark: SparkSession, d: str) -> DataFrame:
+    return _approximate(spark, d).select("query", "vec_id", "rank", F.round("score", 5).alias("score"))
+
+
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    queries, corpus = _vectors(spark, d)
+    return ann.recall(dense.search(queries, corpus, 10), _approximate(spark, d), 10)
+
+
 def top100_ranking(spark: SparkSession, d: str) -> DataFrame:
     return S.ranking(spark, d)
 
@@ -148,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_manifest, distinct_documents, parse_summary, jsonl_round_trip, token_counts, shingle_counts, word_percentiles, document_labels, chunk_variant_stats,
-        bm25_idf, bm25_pooled_top10, bm25_single_top10, dense_top10, dense_filtered_top10, top100_ranking, ranking_export, rrf_fusion, rerank_depth50, overlap_at_50, chunks_per_document,
+        bm25_idf, bm25_pooled_top10, bm25_single_top10, dense_top10, dense_filtered_top10, ann_top10, ann_recall, top100_ranking, ranking_export, rrf_fusion, rerank_depth50, overlap_at_50, chunks_per_document,
     )
 } | _chunk_queries
 
