@@ -40,6 +40,9 @@ STATISTICS = [
     "cell_share", "entry_share", "bullet_share", "end_share", "mean_line", "line_words", "mixed_share", "long_share", "packed",
 ]
 
+#: What the trees see: neither length nor the way lines end, as prose may be long or short and lack punctuation.
+SEEN = [s for s in STATISTICS if s not in ("n_words", "end_share")]
+
 SYMBOL, LETTER, DIGIT, BLANK, BREAK, BROKEN = range(6)
 SLICE_CHARS = 2_000_000
 
@@ -176,7 +179,7 @@ RULES = [
     ("copt", "top_share > 0.4 AND n_words > 8"),
     ("copt", "mixed_share > 0.25 AND common_share < 0.05"),
     ("copt", "letter_share < 0.3 AND digit_share < 0.05 AND cell_share < 0.3"),
-    ("copt", "common_share < 0.15 AND distinct_share < 0.5 AND digit_share < 0.01 AND end_share < 0.1"),
+    ("copt", "common_share < 0.2 AND distinct_share < 0.5 AND digit_share < 0.01 AND end_share < 0.1 AND (line_words < 1.6 OR line_words > 15)"),
     ("tablo", "cell_share > 0.55 AND mixed_share < 0.15"),
     ("liste", "entry_share > 0.6 AND common_share < 0.1 AND line_words >= 1.7 AND broken_share < 0.02 AND long_share < 0.3 AND mixed_share < 0.25 AND (digit_share > 0 OR end_share > 0.1)"),
     ("prosa", "common_share > 0.1 AND cell_share < 0.3 AND entry_share < 0.4 AND broken_share < 0.02 AND top_share < 0.3 AND distinct_share > 0.08 AND letter_share > 0.4"),
@@ -210,7 +213,7 @@ class KindModel:
         from pyspark.ml.feature import VectorAssembler
 
         spark = stats.sparkSession
-        self.assembler = VectorAssembler(inputCols=STATISTICS[1:], outputCol="features")
+        self.assembler = VectorAssembler(inputCols=SEEN, outputCol="features")
         labelled = weak_labels(stats)
         keep = max(1, labelled.count() // sample_rows)
         sample = labelled.where(F.pmod(F.xxhash64(*STATISTICS), F.lit(keep)) == 0).select("kind", *STATISTICS).limit(2 * sample_rows).toPandas()

@@ -1,26 +1,26 @@
 """Openings of documents, each read and labelled by hand, on which probabilities are calibrated."""
 
 HOLDOUT = [
-    ("prosa", 'Working capital required funding of $1,690.1 million against 26.3% a year earlier, partly because warranty claims had no effect on cash at larger sites. Within the consumer unit, the board and our franchise partners together recorded a charge of $1,393.4 million, subject to the usual covenants and approvals. The board reported an increase of 31,758 thousand dollars against 78,655 thousand dollars a year earlier, not '),
+    ("prosa", 'Working capital required funding of $1,690.1 million against 26.3% a year earlier, partly because warranty claims had no effect on cash at larger sites. Within the consumer unit, the board and our franchise partners together recorded a charge of $1,393.4 million, subject to the usual covenants and approvals.'),
     ("prosa", "Question: Using the filing for fiscal year 2017, state Yorzuralund Holdings's days payable outstanding.\nAnswer: Reflecting the new standard, the leasing subsidiary fell short by 23.328%, although promotional allowances had been underestimated ($2,355.73 million), although the comparison is affected by an extra week (schedule 8564)."),
-    ("prosa", 'By the middle of the year, the joint venture and our distribution network together reclassified $352.4 million, and the related interest was capitalised. The leasing subsidiary settled claims worth $3.79 billion against $20.61 billion a year earlier, largely as labour costs turned out weaker despite tighter controls. Working capital reported an increase of $24.46 billion once the smaller format came down faster than '),
+    ("prosa", 'By the middle of the year, the joint venture and our distribution network together reclassified $352.4 million, and the related interest was capitalised. The leasing subsidiary settled claims worth $3.79 billion against $20.61 billion a year earlier, largely as labour costs turned out weaker despite tighter controls.'),
     ("prosa", 'Under the amended facility, selling expense committed 47,083 thousand dollars, partly because payments to vendors were settled before the deadline outside the core market, which management does not regard as lasting.'),
-    ("prosa", 'The credit facility released a provision of $2,546.9 million against 58,611 thousand dollars a year earlier, although the licence terms came down faster than assumed under the old contract.\nAt the end of the period, the credit facility carried a balance of $2,258.7 million, partly because two supplier contracts moved into the next period despite tighter controls, and this trend continued after the closing date. Durin'),
-    ("prosa", 'Question: What drove the change in dividend payout ratio of Kesbovarusk\nHoldings in FY2019?\nAnswer: In contrast, the loyalty programme deferred 7.811%, while\nfreight rates stayed well above the plan under the old contract\n($2,321.37 million), and the remainder is due within five years (schedule\n3988).\nUnder the amended facility, the audit committee reclassified $435 million in'),
-    ("prosa", "La ligne de cr\xe9dit a nettement progress\xe9 au cours de l'exercice, comme l'expliquent les notes annexes. La ligne de cr\xe9dit sera pr\xe9sent\xe9e s\xe9par\xe9ment, si bien qu'aucune d\xe9pr\xe9ciation n'a \xe9t\xe9 constat\xe9e. La marge brute a \xe9t\xe9 examin\xe9e par les auditeurs, parce que les co\xfbts de transport sont rest\xe9s \xe9lev\xe9s. Le conseil est rest\xe9e conforme aux pr\xe9visions, comme l'expliquent les notes annexes. L'usine du nord est rest\xe9e conform"),
-    ("prosa", 'Vergi kar\u015f\u0131l\u0131\u011f\u0131 bu d\xf6nemde beklenenden h\u0131zl\u0131 artt\u0131, b\xf6ylece \xf6l\xe7\xfct ilk kez sa\u011flanm\u0131\u015f oldu (2015: 262,9).\nKuzey fabrikas\u0131 y\xfczde olarak k\xfc\xe7\xfck ama anlaml\u0131 bir fark g\xf6sterdi, b\xf6ylece \xf6l\xe7\xfct ilk kez sa\u011flanm\u0131\u015f oldu. Vergi kar\u015f\u0131l\u0131\u011f\u0131 y\xfczde olarak k\xfc\xe7\xfck ama anlaml\u0131 bir fark g\xf6sterdi, b\xf6ylece \xf6l\xe7\xfct ilk kez sa\u011flanm\u0131\u015f oldu. Y\xf6netim kurulu y\xfczde olarak k\xfc\xe7\xfck ama anlaml\u0131 bir fark g\xf6sterdi, fakat \xf6rnek say\u0131s\u0131 kesin bir sonu\xe7 i\xe7in yet'),
-    ("prosa", 'Under the amended facility, our distribution network and the wholesale channel together exceeded the plan by 1.7%, and the remainder is due within five years. Reflecting the new standard, the audit committee and gross profit together reported an increase of $368.9 million, and no single item was material. Consolidated revenue reclassified 14.2% partly because credit losses had no effect on cash under the old contract'),
-    ("prosa", 'Within the consumer unit, the clinical pipeline and working capital together contributed $19.87 billion, although the comparison is affected by an extra week. For the first half, the pension plan recorded a charge of $368.5 million, since travel demand ended without renewal during the spring, and the estimate may change as facts emerge. In contrast, goodwill and the tax authority together fell short by 9,616 thousand'),
+    ("prosa", 'The credit facility released a provision of $2,546.9 million against 58,611 thousand dollars a year earlier, although the licence terms came down faster than assumed under the old contract.\nAt the end of the period, the credit facility carried a balance of $2,258.7 million, partly because two supplier contracts moved into the next period despite tighter controls, and this trend continued after the closing date.'),
+    ("prosa", 'Question: What drove the change in dividend payout ratio of Kesbovarusk\nHoldings in FY2019?\nAnswer: In contrast, the loyalty programme deferred 7.811%, while\nfreight rates stayed well above the plan under the old contract\n($2,321.37 million), and the remainder is due within five years (schedule\n3988).'),
+    ("prosa", "La ligne de cr\xe9dit a nettement progress\xe9 au cours de l'exercice, comme l'expliquent les notes annexes. La ligne de cr\xe9dit sera pr\xe9sent\xe9e s\xe9par\xe9ment, si bien qu'aucune d\xe9pr\xe9ciation n'a \xe9t\xe9 constat\xe9e. La marge brute a \xe9t\xe9 examin\xe9e par les auditeurs, parce que les co\xfbts de transport sont rest\xe9s \xe9lev\xe9s. Le conseil est rest\xe9e conforme aux pr\xe9visions, comme l'expliquent les notes annexes."),
+    ("prosa", 'Vergi kar\u015f\u0131l\u0131\u011f\u0131 bu d\xf6nemde beklenenden h\u0131zl\u0131 artt\u0131, b\xf6ylece \xf6l\xe7\xfct ilk kez sa\u011flanm\u0131\u015f oldu (2015: 262,9).\nKuzey fabrikas\u0131 y\xfczde olarak k\xfc\xe7\xfck ama anlaml\u0131 bir fark g\xf6sterdi, b\xf6ylece \xf6l\xe7\xfct ilk kez sa\u011flanm\u0131\u015f oldu. Vergi kar\u015f\u0131l\u0131\u011f\u0131 y\xfczde olarak k\xfc\xe7\xfck ama anlaml\u0131 bir fark g\xf6sterdi, b\xf6ylece \xf6l\xe7\xfct ilk kez sa\u011flanm\u0131\u015f oldu.'),
+    ("prosa", 'Under the amended facility, our distribution network and the wholesale channel together exceeded the plan by 1.7%, and the remainder is due within five years. Reflecting the new standard, the audit committee and gross profit together reported an increase of $368.9 million, and no single item was material.'),
+    ("prosa", 'Within the consumer unit, the clinical pipeline and working capital together contributed $19.87 billion, although the comparison is affected by an extra week. For the first half, the pension plan recorded a charge of $368.5 million, since travel demand ended without renewal during the spring, and the estimate may change as facts emerge.'),
     ("prosa", 'El fondo de comercio qued\xf3 por debajo del presupuesto, lo que refleja sobre todo el tipo de cambio  El canal mayorista fue revisado por los auditores, lo que refleja sobre todo el tipo de cambio (2022: 575,1)  El canal mayorista qued\xf3 por debajo del presupuesto, lo que refleja sobre todo el tipo de cambio  La red de distribuci\xf3n fue revisado por los auditores, debido a que los fletes siguieron altos  El fondo de come'),
-    ("prosa", 'The audit committee was reduced by $277 million in fiscal 2018 against 12.8% a year earlier, mainly because the licence terms were renegotiated twice for the second time.\nUnder the amended facility, the bottling venture and the clinical pipeline together returned $1,531.7 million, which is shown under other current liabilities. In the fourth quarter, the specialty coatings segment and the logistics centre together re'),
-    ("prosa", 'Question: What drove the change in operating margin of Jascutelund Energy in FY2019?\nAnswer: Across all regions, the specialty coatings segment and the wholesale channel together absorbed costs of $6.65 billion, and the related interest was capitalised.\nNo dividend was declared on the preferred class.\nQuestion: What drove the change in effective tax rate of Morniregate Inc. in FY2017?'),
-    ("prosa", 'Across all regions, the inventory reserve repaid $2.71 billion, largely as the mild winter were renegotiated twice, and the other segments were hardly touched. Despite softer demand, goodwill settled claims worth $3,966.8 million, after the new warehouse had no effect on cash in the smaller units, which is shown under other current liabilities. The leasing subsidiary reclassified 39.6% given that orders from wholesal'),
-    ("prosa", 'Vergi kar\u015f\u0131l\u0131\u011f\u0131 ge\xe7en y\u0131la g\xf6re belirgin bi\xe7imde geriledi, \xe7\xfcnk\xfc hammadde fiyatlar\u0131 y\xfcksek seyretti. Yeniden s\u0131ralama deneyi \xf6nceki kararla uyumlu kald\u0131, ve kalan tutar gelecek y\u0131la devredildi (2020: 122,8). Sat\u0131\u015f kanal\u0131 planlanan tarihten \xf6nce tamamland\u0131, bu nedenle ek bir kar\u015f\u0131l\u0131k ayr\u0131lmad\u0131. \u015eirketin gelirleri planlanan tarihten \xf6nce tamamland\u0131, \xe7\xfcnk\xfc hammadde fiyatlar\u0131 y\xfcksek seyretti. Y\xf6netim kurulu yeniden g\xf6zde'),
-    ("prosa", 'The hedging portfolio wrote down $2,796.3 million against $9.27 billion a year earlier, since the discount rate improved only slowly. Compared with the prior period, the packaging division required funding of 294,754 thousand dollars, partly because warranty claims were renegotiated twice outside the core market (22.308%), although the comparison is affected by an extra week (schedule 1720). The credit facility carri'),
-    ("prosa", 'Y\xf6netim kurulu bu d\xf6nemde beklenenden h\u0131zl\u0131 artt\u0131, fakat \xf6rnek say\u0131s\u0131 kesin bir sonu\xe7 i\xe7in yetersiz (2015: 133,0). Y\xf6netim kurulu bu d\xf6nemde beklenenden h\u0131zl\u0131 artt\u0131, fakat \xf6rnek say\u0131s\u0131 kesin bir sonu\xe7 i\xe7in yetersiz. \u015eirketin gelirleri yeniden g\xf6zden ge\xe7irildi, \xe7\xfcnk\xfc hammadde fiyatlar\u0131 y\xfcksek seyretti. Kuzey fabrikas\u0131 ge\xe7en y\u0131la g\xf6re belirgin bi\xe7imde geriledi, fakat \xf6rnek say\u0131s\u0131 kesin bir sonu\xe7 i\xe7in yetersiz.\n'),
-    ("prosa", 'Our largest customer was valued at $4.38 billion against $1,986.0 million a year earlier, mainly because crop yields stayed well above the plan by common consent. The notes form an integral part of these statements. Over the last three years, working capital committed 35.7%, once the smaller format were booked in full despite tighter controls, which management does not regard as lasting. The figures in the table are '),
-    ("prosa", 'Following the disposal, consolidated revenue required funding of 3.1%, after two supplier contracts shifted towards cheaper lines, and roughly half relates to overseas units. During the year, the board settled claims worth $2,332.17 million, in part since returns of unsold stock improved only slowly during the spring (28.882%), and no single item was material (note 5946). The logistics centre reported an increase of '),
-    ("prosa", 'The lease term ends before the option can be exercised. Our northern plants deferred $2,826.5 million against 19.8% a year earlier, although spare parts improved only slowly within a few weeks.\nAs of the balance sheet date, the specialty coatings segment reclassified 15,310 thousand dollars, partly because the new warehouse moved into the next period, which management does not regard as lasting. The logistics centre '),
+    ("prosa", 'The audit committee was reduced by $277 million in fiscal 2018 against 12.8% a year earlier, mainly because the licence terms were renegotiated twice for the second time.\nUnder the amended facility, the bottling venture and the clinical pipeline together returned $1,531.7 million, which is shown under other current liabilities.'),
+    ("prosa", 'Question: What drove the change in operating margin of Jascutelund Energy in FY2019?\nAnswer: Across all regions, the specialty coatings segment and the wholesale channel together absorbed costs of $6.65 billion, and the related interest was capitalised.\nNo dividend was declared on the preferred class.\nQuestion: What drove the change in effective tax rate of Morniregate Inc.'),
+    ("prosa", 'Across all regions, the inventory reserve repaid $2.71 billion, largely as the mild winter were renegotiated twice, and the other segments were hardly touched. Despite softer demand, goodwill settled claims worth $3,966.8 million, after the new warehouse had no effect on cash in the smaller units, which is shown under other current liabilities.'),
+    ("prosa", 'Vergi kar\u015f\u0131l\u0131\u011f\u0131 ge\xe7en y\u0131la g\xf6re belirgin bi\xe7imde geriledi, \xe7\xfcnk\xfc hammadde fiyatlar\u0131 y\xfcksek seyretti. Yeniden s\u0131ralama deneyi \xf6nceki kararla uyumlu kald\u0131, ve kalan tutar gelecek y\u0131la devredildi (2020: 122,8). Sat\u0131\u015f kanal\u0131 planlanan tarihten \xf6nce tamamland\u0131, bu nedenle ek bir kar\u015f\u0131l\u0131k ayr\u0131lmad\u0131. \u015eirketin gelirleri planlanan tarihten \xf6nce tamamland\u0131, \xe7\xfcnk\xfc hammadde fiyatlar\u0131 y\xfcksek seyretti.'),
+    ("prosa", 'The hedging portfolio wrote down $2,796.3 million against $9.27 billion a year earlier, since the discount rate improved only slowly. Compared with the prior period, the packaging division required funding of 294,754 thousand dollars, partly because warranty claims were renegotiated twice outside the core market (22.308%), although the comparison is affected by an extra week (schedule 1720).'),
+    ("prosa", 'Y\xf6netim kurulu bu d\xf6nemde beklenenden h\u0131zl\u0131 artt\u0131, fakat \xf6rnek say\u0131s\u0131 kesin bir sonu\xe7 i\xe7in yetersiz (2015: 133,0). Y\xf6netim kurulu bu d\xf6nemde beklenenden h\u0131zl\u0131 artt\u0131, fakat \xf6rnek say\u0131s\u0131 kesin bir sonu\xe7 i\xe7in yetersiz. \u015eirketin gelirleri yeniden g\xf6zden ge\xe7irildi, \xe7\xfcnk\xfc hammadde fiyatlar\u0131 y\xfcksek seyretti. Kuzey fabrikas\u0131 ge\xe7en y\u0131la g\xf6re belirgin bi\xe7imde geriledi, fakat \xf6rnek say\u0131s\u0131 kesin bir sonu\xe7 i\xe7in yetersiz.'),
+    ("prosa", 'Our largest customer was valued at $4.38 billion against $1,986.0 million a year earlier, mainly because crop yields stayed well above the plan by common consent. The notes form an integral part of these statements. Over the last three years, working capital committed 35.7%, once the smaller format were booked in full despite tighter controls, which management does not regard as lasting.'),
+    ("prosa", 'Following the disposal, consolidated revenue required funding of 3.1%, after two supplier contracts shifted towards cheaper lines, and roughly half relates to overseas units. During the year, the board settled claims worth $2,332.17 million, in part since returns of unsold stock improved only slowly during the spring (28.882%), and no single item was material (note 5946).'),
+    ("prosa", 'The lease term ends before the option can be exercised. Our northern plants deferred $2,826.5 million against 19.8% a year earlier, although spare parts improved only slowly within a few weeks.\nAs of the balance sheet date, the specialty coatings segment reclassified 15,310 thousand dollars, partly because the new warehouse moved into the next period, which management does not regard as lasting.'),
     ("liste", 'Risk topics\n\u2022 bottling venture (2023)\n\u2022 joint venture (2022)\n\u2022 gross profit (2016);\n\u2022 Brahudotine Holdings, sold.\n\u2022 joint venture\n\u2022 Loyalty programme (2019)\n\u2022 Bradadadorn Holdings, dormant;\n\u2022 Software business,\n\u2022 Pension plan;\n\u2022 Zelxexenell Corporation, sold,\n\u2022 specialty coatings segment\n\u2022 Ultapoblen Technologies, leased;\n\u2022 Goodwill (2020);\n\u2022 Bottling venture (2022),\n\u2022 Working capital'),
     ("liste", 'Subsidiaries\n- Clinical pipeline (2012)\n- Nolhubostad Group, leased\n- Logistics centre.\n- Pryfevazor Co., owned\n- Consolidated revenue\n- Tamroxeram Brands, sold'),
     ("liste", 'Agenda\n1. Gross profit;\n2. Audit committee (2012).\n3. Kaldopaxton Technologies, sold\n4. Ozvapabron Holdings, sold.\n5. Specialty coatings segment\n6. Jasdazegate Energy, owned\n7. Yornineville Holdings, sold.\n8. Hedging portfolio,\n9. Treasury team;\n10. packaging division\n11. Selling expense,\n12. Jinkatedane Co., dormant\n13. Logistics centre;\n14. Logistics centre;\n  15. board,\n  16. audit committee (2013)'),
