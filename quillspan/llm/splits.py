@@ -52,7 +52,11 @@ def local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def components(edges: DataFrame, edges_per_part: int = EDGES_PER_PART) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a string, b string) that is not itself the name of its component."""
+    """(node, component) of every node of ``edges`` (a string, b string) that is not itself the name of its component.
+
+    The names should be hashes, as those of ``question_groups`` are: any names give right components, but the number
+    of levels is only logarithmic where the names' order has nothing to do with the links.
+    """
     levels: list[DataFrame] = []
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while count := now.count():
