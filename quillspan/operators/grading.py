@@ -56,18 +56,47 @@ def number_grade(gold: Column, answer: Column, question: Column) -> Column:
     return F.when((F.size(found) > 0) & (F.size(T.numbers(gold)) > 0), F.transform(F.array(wanted), judged)[0])
 
 
+def _keys(gold: Column) -> Column:
+    """Key numbers of a gold text with their own decimals and scale: a whole number without percent sign and scale word
+    counts only from 100 on and if it could not be a year."""
+    size = lambda n: F.abs(n["value"])
+    plain = lambda n: (n["decimals"] == 0) & ~n["percent"] & (n["scale"] == 1)
+    return F.filter(T.numbers(gold), lambda n: ~(plain(n) & ((size(n) < 100) | ((size(n) >= 1900) & (size(n) <= 2100)))))
+
+
 def key_numbers(gold: Column) -> Column:
-    """Numbers of a gold text that count: scaled values without bare years and bare whole numbers under 100."""
-    small = lambda n: (n["decimals"] == 0) & ~n["percent"] & (n["scale"] == 1) & ~n["dollar"] & (F.abs(n["value"]) < 100)
-    return F.transform(F.filter(T.numbers(gold), lambda n: ~small(n) & ~bare_year(n)), lambda n: n["value"] * n["scale"])
+    """Numbers of a gold text that count, scaled."""
+    return F.transform(_keys(gold), lambda n: n["value"] * n["scale"])
+
+
+def rounded(x: Column, decimals: Column) -> Column:
+    """Half up at a number's own decimals; beyond twelve nothing is rounded."""
+    at = F.when(decimals == 0, F.round(x, 0))
+    for k in range(1, 13):
+        at = at.when(decimals == k, F.round(x, k))
+    return at.otherwise(x)
+
+
+def key_number_grade(gold: Column, answer: Column) -> Column:
+    """struct(share, everything) of gold's key numbers that the answer has outside its sources: equal at gold's own
+    decimals and in gold's scale, or within one percent. Null if gold has none; an answer that is null has none."""
+    have = F.transform(T.numbers(T.without_sources(F.coalesce(answer, F.lit("")))), lambda n: n["value"] * n["scale"])
+
+    def met(found: Column, keys: Column) -> Column:
+        equal = lambda k, h: rounded(h / k["scale"], k["decimals"]) == rounded(k["value"], k["decimals"])
+        near = lambda k, h: (k["value"] != 0) & (F.abs(h - k["value"] * k["scale"]) <= 0.01 * F.abs(k["value"] * k["scale"]))
+        return F.size(F.filter(keys, lambda k: F.exists(found, lambda h: equal(k, h) | near(k, h))))
+
+    # Both lists are bound once: they are not computed again for every number.
+    bound = F.array(F.struct(have.alias("have"), _keys(gold).alias("keys")))
+    counted = F.transform(bound, lambda x: F.struct(met(x["have"], x["keys"]).alias("met"), F.size(x["keys"]).alias("n")))
+    graded = F.transform(F.filter(counted, lambda c: c["n"] > 0), lambda c: F.struct((c["met"] / c["n"]).alias("share"), (c["met"] == c["n"]).alias("everything")))
+    return F.get(graded, F.lit(0))
 
 
 def key_number_share(gold: Column, answer: Column) -> Column:
-    """The share of gold's key numbers that the answer has within one percent; null if gold has none."""
-    have = F.transform(T.numbers(answer), lambda n: n["value"] * n["scale"])
-    keys = key_numbers(gold)
-    met = F.filter(keys, lambda k: F.exists(have, lambda h: F.abs(h - k) <= 0.01 * F.abs(k)))
-    return F.when(F.size(keys) > 0, F.size(met) / F.size(keys))
+    """The share of gold's key numbers that the answer has outside its sources; null if gold has none."""
+    return key_number_grade(gold, answer)["share"]
 
 
 def citation_scores(cited: DataFrame, gold: DataFrame) -> DataFrame:

@@ -80,11 +80,23 @@ def number_grades(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("model", "kosul").agg(yes("g.precise").alias("precise"), yes("g.tolerant").alias("tolerant"), F.count(F.lit(1)).alias("n"))
 
 
+def _key_number_cells(a: DataFrame) -> DataFrame:
+    """Mean share and all-found share of (model, kosul, gold, yanit) by model and condition; gold without key numbers is left out."""
+    g = a.select("model", "kosul", grading.key_number_grade(F.col("gold"), F.col("yanit")).alias("g")).where("g IS NOT NULL")
+    share, everything = F.round(F.avg("g.share"), 6), F.round(F.avg(F.col("g.everything").cast("int")), 6)
+    return g.groupBy("model", "kosul").agg(share.alias("mean_share"), everything.alias("all_found"), F.count(F.lit(1)).alias("n"))
+
+
 def key_number_grades(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence texts as gold: the share of their key numbers that an answer repeats, by condition."""
-    e = S.evidence(spark, d).where("ev = 0 AND text IS NOT NULL").select(F.col("qid").alias("id"), F.col("text").alias("gold"))
-    a = latest_success(spark, d).join(e, "id").select("kosul", grading.key_number_share(F.col("gold"), F.col("yanit")).alias("share"))
-    return a.where("share IS NOT NULL").groupBy("kosul").agg(F.round(F.avg("share"), 6).alias("mean_share"), F.count(F.lit(1)).alias("n"))
+    """Answers to questions whose gold answer is a text with numbers: the share of its key numbers that they repeat."""
+    gold = S.questions(spark, d).where(T.gold_type(F.col("answer")) == "key_number").select(F.col("qid").alias("id"), F.col("answer").alias("gold"))
+    return _key_number_cells(latest_success(spark, d).join(gold, "id"))
+
+
+def key_number_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The same against every evidence text of a question."""
+    e = S.evidence(spark, d).where("text IS NOT NULL").select(F.col("qid").alias("id"), F.col("text").alias("gold"))
+    return _key_number_cells(latest_success(spark, d).join(e, "id"))
 
 
 def common_graded(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +193,7 @@ def question_years(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_success_keys, missing_answers, request_fingerprint, gold_types, final_answers, insufficiency_flags, number_extraction, verdict_grades, number_grades, key_number_grades,
+        latest_success_keys, missing_answers, request_fingerprint, gold_types, final_answers, insufficiency_flags, number_extraction, verdict_grades, number_grades, key_number_grades, key_number_evidence,
         common_graded, yes_baseline, citation_pages, citation_scores, citation_rollup, pilot_first4, quota_sample, blind_assignment, rescore_agreement, usage_totals, present_absent,
         company_mentions, routed_documents, question_years,
     )

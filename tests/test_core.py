@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
 from quillspan.operators import audit, chunking, dense, grading, metrics, ranking, routing
+from quillspan.plans import answers
 
 
 def one(spark, column, *values, kinds="a string"):
@@ -78,6 +79,29 @@ def test_key_numbers(spark):
     assert math.isclose(one(spark, grading.key_number_share(F.col("a"), F.col("b")), "1.7% and $5 million", "about 1.7%", kinds="a string, b string"), 0.5)
 
 
+@pytest.mark.parametrize(
+    ("gold", "answer", "share", "everything"),
+    [
+        ("1.7% and $5 million", "1.7%\nSources: A_2019, page 7\nB_2, 5,000,000", 0.5, False),  # a number among the sources is not found
+        ("It fell to 0.2%", "Sources: A, 7\nFinal answer: 0.24%", 1.0, True),  # equal at gold's decimals, beyond one percent
+        ("0.0% and 250", "0.04 and 252", 1.0, True), ("0.0% and 250", "0.06 and 252", 0.5, False), ("$5 and 2022", "5", None, None), ("1.7%", None, 0.0, False), (None, "1.7%", None, None),
+    ],
+)
+def test_key_number_grade(spark, gold, answer, share, everything):
+    got = one(spark, grading.key_number_grade(F.col("g"), F.col("a")), gold, answer, kinds="g string, a string")
+    assert (got and (got["share"], got["everything"])) == (None if share is None else (share, everything))
+
+
+def test_key_number_gold_is_the_answer_and_every_evidence(spark, tmp_path):
+    asked = [(1, "q1", "d", "x", "About 12.5% of sales", "t", [("d", 1, "It was 3.25%"), ("d", 2, "It was 12.5%")]), (2, "q2", "d", "x", "12.5%", "t", [("d", 1, "It was 7.75%")])]
+    kinds = "kayit_no bigint, financebench_id string, doc_name string, question string, answer string, question_type string, evidence array<struct<doc_name: string, evidence_page_num: int, evidence_text: string>>"
+    spark.createDataFrame(asked, kinds).write.parquet(f"{tmp_path}/sorular.parquet")
+    given = [(1, "q1", "k", "m", "v", None, "12.5%", None), (2, "q2", "k", "m", "v", None, "12.5%", None)]
+    spark.createDataFrame(given, "kayit_no bigint, id string, kosul string, model string, prompt_surum string, tarih timestamp, yanit string, hata string").write.parquet(f"{tmp_path}/cevaplar.parquet")
+    assert [tuple(r) for r in answers.key_number_grades(spark, str(tmp_path)).collect()] == [("m", "k", 1.0, 1.0, 1)]
+    assert [tuple(r) for r in answers.key_number_evidence(spark, str(tmp_path)).collect()] == [("m", "k", 0.333333, 0.333333, 3)]
+
+
 @pytest.mark.parametrize(("answer", "said"), [("Yes, it rose.", "yes"), ("**No.**", "no"), ("no question", None), ("Nothing", None), ("", None)])
 def test_verdict(spark, answer, said):
     assert one(spark, T.verdict(F.col("a")), answer) == said
