@@ -51,6 +51,11 @@ def local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": nodes, "root": [parent[x] for x in nodes]}, dtype="object")
 
 
+def spread(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges in parts by a hash of both names, so that the edges of a hot node lie in all of them."""
+    return edges.repartition(parts, "a", "b")
+
+
 def components(edges: DataFrame, edges_per_part: int = EDGES_PER_PART) -> DataFrame:
     """(node, component) of every node of ``edges`` (a string, b string) that is not itself the name of its component.
 
@@ -61,7 +66,7 @@ def components(edges: DataFrame, edges_per_part: int = EDGES_PER_PART) -> DataFr
     now = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     while count := now.count():
         parts = max(LEAST_PARTS, -(-count // edges_per_part))
-        forest = written(now.repartition(parts, "b").mapInPandas(local_forest, "node string, root string"), "forest")
+        forest = written(spread(now, parts).mapInPandas(local_forest, "node string, root string"), "forest")
         up = forest.groupBy("node").agg(F.min("root").alias("up"))
         levels.append(written(up, "parents"))
         up = levels[-1]

@@ -63,6 +63,14 @@ def union_find(edges):
     return {x: find(x) for x in list(up)}
 
 
+def test_edges_of_a_hot_node_are_spread_over_all_parts(spark):
+    star = spark.createDataFrame([(f"n{i}", "z") for i in range(3000)], "a string, b string")
+    sizes = [len(x) for x in splits.spread(star, 6).rdd.glom().collect()]
+    assert len(sizes) == 6 and max(sizes) < 700
+    got = splits.components(star, 500).collect()
+    assert len(got) == 3000 and {r["component"] for r in got} == {"n0"}
+
+
 @pytest.mark.parametrize("kind", ["chain", "star", "random", "loops"])
 def test_components_against_union_find(spark, kind):
     rng = random.Random(2)
