@@ -3,6 +3,8 @@
 1. Seeds. For every end of a word run in an item, the shortest run of at least ``least`` words that occurs in no other
    item must hold at least one seed: the n-gram that is rarest among the items (of equals the one with the smallest
    hash). No passage can be missed, and wording that items share brings in no candidates of its own.
+   Edited copies need shorter seeds: all n-grams of ``short`` words that are in one item only. Two of them that do not
+   overlap, near one diagonal of a text and an item, make a pair; a copy with a changed word every ``short`` + 1 words has them.
 2. Scan. Each training text is cut into words where it lies; only regions around seed hits leave the task, as numbers
    of item words.
 3. Join. Hits meet the seed table by the n-gram's hash and give pairs of region and item.
@@ -33,6 +35,8 @@ KEPT = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789A" else 32 for
 BORDER, SLICE_CHARS = " A ", 2_000_000
 MOST_ITEM_WORDS = 1_000_000
 MATCH, OTHER, GAP, CELL = 2, -1, -1, 8192
+#: Words of a short seed, and how far the diagonals of two neighbouring short hits may lie apart.
+SHORT, SLIP = 5, 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -94,7 +98,7 @@ def grams(ids: np.ndarray, n: int, mix: np.ndarray) -> np.ndarray:
 class Benchmark:
     """The held-out items in numbers: words, shortest own runs and seeds."""
 
-    def __init__(self, rows: list[tuple[str, str | None]], least: int, n: int):
+    def __init__(self, rows: list[tuple[str, str | None]], least: int, n: int, short: int | None = None):
         split = {k: w for k, t in rows if k is not None and len(w := words_of(t)) >= least}
         self.n, self.least, self.names = n, least, sorted(split)
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for x in split.values() for w in x}))}
@@ -113,6 +117,33 @@ class Benchmark:
             rank[order] = np.arange(len(h))
             chosen = {a + int(np.argmin(rank[a : e - n + 2])) for e in range(least - 1, len(own)) if (a := e - int(own[e]) + 1) >= 0}
             self.seeds += [(int(h[i].astype(np.int64)), name, i) for i in sorted(chosen)]
+        #: Short seeds, sorted by hash: the hash, the item and the place in it of every n-gram that only one item has.
+        self.short, few = short, [grams(w, short, self.mix) for w in self.items] if short else []
+        met, in_items = np.unique(np.concatenate([np.unique(h) for h in few] or [np.empty(0, np.uint64)]), return_counts=True)
+        gram = np.concatenate(few or [np.empty(0, np.uint64)])
+        item = np.repeat(np.arange(len(few)), [len(h) for h in few])
+        place = np.concatenate([np.arange(len(h)) for h in few] or [np.empty(0, np.int64)])
+        own = np.flatnonzero(np.isin(gram, met[in_items == 1]))
+        own = own[np.argsort(gram[own], kind="stable")]
+        self.few = gram[own], item[own], place[own]
+
+
+def near(at: np.ndarray, text: np.ndarray, h: np.ndarray, few: tuple[np.ndarray, np.ndarray, np.ndarray], short: int) -> np.ndarray:
+    """Those of the places ``at`` (their text, and their hash among ``few``) that lie with others of the same text and
+    item near one diagonal (steps of at most SLIP) and span two n-grams that do not overlap."""
+    gram, item, place = few
+    low, high = np.searchsorted(gram, h, "left"), np.searchsorted(gram, h, "right")
+    hit = np.repeat(np.arange(len(at)), high - low)
+    seed = np.arange(len(hit)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+    t, k, where = text[hit], item[seed], at[hit]
+    diagonal = where - place[seed]
+    order = np.lexsort((where, diagonal, k, t))
+    if not len(order):
+        return at[:0]
+    t, k, where, diagonal = t[order], k[order], where[order], diagonal[order]
+    begin = np.flatnonzero(np.concatenate([[True], (np.diff(t) != 0) | (np.diff(k) != 0) | (np.diff(diagonal) > SLIP)]))
+    wide = np.maximum.reduceat(where, begin) - np.minimum.reduceat(where, begin) >= short
+    return np.unique(where[np.repeat(wide, np.diff(np.append(begin, len(where))))])
 
 
 def scan(texts: DataFrame, b: Benchmark) -> DataFrame:
@@ -122,26 +153,37 @@ def scan(texts: DataFrame, b: Benchmark) -> DataFrame:
     seeds = np.unique(np.array([s for s, _, _ in b.seeds], np.int64).astype(np.uint64))
     sieve = np.zeros(1 << 20, bool)
     sieve[seeds >> np.uint64(44)] = True
-    shared = spark.sparkContext.broadcast((number, mix, seeds, sieve))
+    short, short_sieve = b.short, np.zeros(1 << 20, bool)
+    short_sieve[b.few[0] >> np.uint64(44)] = True
+    shared = spark.sparkContext.broadcast((number, mix, seeds, sieve, b.few, short_sieve))
 
     def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, mix, seeds, sieve = shared.value
+        number, mix, seeds, sieve, few, short_sieve = shared.value
         number = {**number, b"A": -1}
         for batch in batches:
             keys, texts, out = batch["egitim_id"].tolist(), batch["text"].tolist(), []
             for begin, end in runs([len(t or "") for t in texts]):
-                found = joined(texts[begin:end])
-                ids = np.fromiter(map(number.get, found, repeat(0)), np.int32, len(found))
+                said = joined(texts[begin:end])
+                ids = np.fromiter(map(number.get, said, repeat(0)), np.int32, len(said))
                 border = np.flatnonzero(ids == -1)
                 h = grams(ids, n, mix)
                 at = np.flatnonzero(sieve[h >> np.uint64(44)])
                 at = at[np.isin(h[at], seeds)]
+                found = [(int(i), int(h[i].astype(np.int64))) for i in at]
+                if short:
+                    g = grams(ids, short, mix)
+                    some = np.flatnonzero(short_sieve[g >> np.uint64(44)])
+                    some = some[np.isin(g[some], few[0])]
+                    some = near(some, np.searchsorted(border, some) - 1, g[some], few, short)
+                    found = sorted(found + [(int(i), int(g[i].astype(np.int64))) for i in some])
+                    at = np.array([i for i, _ in found], np.int64)
                 text = np.searchsorted(border, at) - 1
                 far = (np.diff(at) > n + 2 * pad) | (np.diff(text) > 0)
-                for part in np.split(at, np.flatnonzero(far) + 1) if len(at) else []:
+                for which in np.split(np.arange(len(at)), np.flatnonzero(far) + 1) if len(at) else []:
+                    part = at[which]
                     k = int(np.searchsorted(border, part[0])) - 1
                     first, last = max(int(border[k]) + 1, int(part[0]) - pad), min(int(border[k + 1]), int(part[-1]) + n + pad)
-                    hits = [{"seed": int(h[i].astype(np.int64)), "at": int(i) - first} for i in part]
+                    hits = [{"seed": found[i][1], "at": found[i][0] - first} for i in which]
                     out.append((keys[begin + k], first - int(border[k]) - 1, ids[first:last], hits))
             yield pd.DataFrame(out, columns=["egitim_id", "region", "words", "hits"])
 
@@ -176,16 +218,18 @@ def align(words: list[np.ndarray], items: list[np.ndarray], own: list[np.ndarray
     return pd.DataFrame({"puan": top // CELL, "ortak": top % CELL, "en_uzun": longest.max(axis=1).astype(np.int64), "gecer": passes.any(axis=1)})
 
 
-def leaks(items: DataFrame, texts: DataFrame, least: int = 25, n: int = 12) -> DataFrame:
+def leaks(items: DataFrame, texts: DataFrame, least: int = 25, n: int = 12, short: int | None = SHORT) -> DataFrame:
     """(fb_soru, egitim_id, puan, ortak, en_uzun, kapsama, gecer): every pair of an item and a training text that
-    share a seed. ``puan`` is the alignment's score, ``ortak`` the words it matches, ``kapsama`` their share of the
+    share a seed, or two short ones apart near one diagonal (none are looked for where ``short`` is None; exact runs do not
+    need them). ``puan`` is the alignment's score, ``ortak`` the words it matches, ``kapsama`` their share of the
     item, ``en_uzun`` the longest exact run, ``gecer`` whether a run of ``least`` words or more is the item's own."""
     spark: SparkSession = texts.sparkSession
-    b = Benchmark([(r[0], r[1]) for r in items.select("fb_soru", "metin").distinct().collect()], least, n)
+    b = Benchmark([(r[0], r[1]) for r in items.select("fb_soru", "metin").distinct().collect()], least, n, short)
     if sum(map(len, b.items)) > MOST_ITEM_WORDS:
         raise ValueError("more held-out text than one pass takes: call leaks() for blocks of items whose union is the set")
     found = written(scan(texts, b).withColumn("body", F.xxhash64("words")), "regions")
-    seeds = F.broadcast(spark.createDataFrame(b.seeds, "seed long, fb_soru string, item_at int"))  # within MOST_ITEM_WORDS rows
+    few = [(int(h), b.names[k], int(i)) for h, k, i in zip(b.few[0].astype(np.int64), b.few[1], b.few[2])]
+    seeds = F.broadcast(spark.createDataFrame(b.seeds + few, "seed long, fb_soru string, item_at int"))  # within MOST_ITEM_WORDS rows
     hits = found.select("egitim_id", "region", "body", F.explode("hits").alias("hit")).select("egitim_id", "region", "body", "hit.*").join(seeds, "seed")
     diagonal = F.col("at") - F.col("item_at")
     pairs = hits.groupBy("egitim_id", "region", "body", "fb_soru").agg(F.min(diagonal).alias("low"), F.max(diagonal).alias("high"))

@@ -58,17 +58,17 @@ def p4_parts(spark: SparkSession, d: str) -> DataFrame:
     return splits.question_parts(table(spark, d, "sorular", "kayit_no", "financebench_id", "doc_name"), {"egitim": 0.8, "dogrulama": 0.1, "sinama": 0.1})
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
+def _leaks(spark: SparkSession, d: str, short: int | None) -> DataFrame:
     texts = leakage.training_texts(table(spark, d, "finqa", "id", "pre_text", "tablo", "post_text"), table(spark, d, "documents", "doc_id", "text"))
-    return leakage.leaks(table(spark, d, "kilitli_kanit", "fb_soru", "metin"), texts)
+    return leakage.leaks(table(spark, d, "kilitli_kanit", "fb_soru", "metin"), texts, short=short)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.found(_leaks(spark, d))
+    return leakage.found(_leaks(spark, d, None))
 
 
 def p5_rapor(spark: SparkSession, d: str) -> DataFrame:
-    return _leaks(spark, d)
+    return _leaks(spark, d, leakage.SHORT)
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:

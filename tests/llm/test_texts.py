@@ -52,6 +52,22 @@ def test_leaks_against_brute_force(spark):
     assert got == want and len(want) > 20
 
 
+def test_copies_edited_every_few_words_are_reported(spark):
+    rng = random.Random(3)
+    items = {f"i{k}": [f"w{rng.randint(0, 400)}" for _ in range(60)] for k in range(5)}
+    texts = {}
+    for every in range(6, 11):  # a changed, a dropped and an added word in turn
+        for kind in range(3):
+            copy = [x for at, w in enumerate(items["i2"]) for x in ([w] if at % every != every - 1 else [["edited"], [], [w, "added"]][kind])]
+            texts[f"{every}-{kind}"] = ["zz"] * 30 + copy + ["zz"] * 30
+    texts["none"] = ["zz"] * 50 + items["i2"][:5] + ["zz"] * 50
+    held = spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "fb_soru string, metin string")
+    corpus = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "egitim_id string, text string")
+    got = {(r["fb_soru"], r["egitim_id"]): r for r in leakage.leaks(held, corpus).collect()}
+    assert set(got) == {("i2", t) for t in texts if t != "none"}
+    assert all(r["kapsama"] >= 0.8 and not r["gecer"] for r in got.values())
+
+
 def test_training_texts_and_empty_tables(spark):
     finqa = spark.createDataFrame([("a", ["x"], [["1", None], None, ["2"]], None), ("b", None, None, None)], "id string, pre_text array<string>, tablo array<array<string>>, post_text array<string>")
     docs = spark.createDataFrame([(5, "t"), (6, None)], "doc_id bigint, text string")
