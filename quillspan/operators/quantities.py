@@ -18,12 +18,13 @@ question asks for, and states nothing if the question names no unit either.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.functions.text import let
+
 #: Base dimensions, in the order of the exponent vectors. ``ratio`` marks numbers that are shares of one.
 DIMENSIONS = ("money", "share", "power", "time", "ratio")
 
@@ -162,11 +163,6 @@ def measure_of(exponents: Column) -> Column:
 CANONICAL = {"usd": (1.0, 0.0), "adet": (1.0, 0.0), "kwh": (1.0, 0.0), "gun": (1 / 24, 0.0), "oran": (1e4, 0.0)}
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
-    return F.transform(F.array(value), lambda v: body(v))[0]
-
-
 def quantity(text: Column, question: Column, lang: Column) -> Column:
     """struct(olcu, deger) of the quantity that ``text`` states; null where it states none."""
     zero = lambda exponents: F.forall(exponents, lambda e: e == 0)

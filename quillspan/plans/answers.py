@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from quillspan.functions import text as T
 from quillspan.operators import grading, routing
 from quillspan.operators.ranking import ranked
+from quillspan.plans import evaluation
+from quillspan.plans import routing_sql
 from quillspan.plans import shared as S
+from quillspan.plans.answer_sql import GOLD_TYPE, OK, UNIT, parts_sql, verdict_sql
 from quillspan.sources.tables import table
 
 CELL = ["id", "kosul", "model", "prompt_surum"]
@@ -30,17 +33,17 @@ def latest_success_keys(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missing_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Questions and conditions without any sound record: what a resumed run would still have to ask. Conditions are
-    the few spelled in the answers; each question is spread over them."""
-    kosul = [r[0] for r in _answers(spark, d).where("kosul IS NOT NULL").select("kosul").distinct().orderBy("kosul").collect()]
-    wanted = S.questions(spark, d).select(F.col("qid").alias("id"), F.explode(F.array(*map(F.lit, kosul))).alias("kosul"))
+    """Questions and conditions without any sound record: what a resumed run would still have to ask. Every question is wanted
+    under each of the few conditions that answers have."""
+    wanted = S.questions(spark, d).select(F.col("qid").alias("id")).crossJoin(table(spark, d, "cevaplar", "kosul").where("kosul IS NOT NULL").distinct())
     return wanted.join(_answers(spark, d).where("hata IS NULL AND yanit IS NOT NULL"), ["id", "kosul"], "left_anti")
 
 
 def request_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """One hash of everything that a request depends on."""
+    """One hash of everything that a request depends on: of JSON with sorted keys, in which nulls are kept apart."""
     a = _answers(spark, d).join(S.questions(spark, d).select(F.col("qid").alias("id"), "question"), "id")
-    return a.select("kayit_no", F.sha2(F.concat_ws("\n", *CELL, "question"), 256).alias("fingerprint"))
+    request = F.to_json(F.struct(*sorted([*CELL, "question"])), {"ignoreNullFields": "false"})
+    return a.select("kayit_no", F.sha2(request, 256).alias("fingerprint"))
 
 
 def gold_types(spark: SparkSession, d: str) -> DataFrame:
@@ -58,56 +61,16 @@ def insufficiency_flags(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("model", "kosul").agg(F.sum(F.col("yanit").rlike(T.INSUFFICIENT).cast("int")).cast("bigint").alias("flagged"), F.count(F.lit(1)).alias("n"))
 
 
-def number_extraction(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "sorular", "kayit_no", "answer").where("answer IS NOT NULL")
-    n = q.select("kayit_no", F.posexplode(T.numbers(F.col("answer"))).alias("place", "n"))
-    return n.select("kayit_no", "place", "n.*")
-
-
-def verdict_grades(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy on yes-or-no questions by model and condition, over the latest sound answers; no verdict is wrong."""
-    gold = S.questions(spark, d).select(F.col("qid").alias("id"), T.verdict(F.col("answer")).alias("gold")).where("gold IS NOT NULL")
-    a = latest_success(spark, d).withColumn("given", T.verdict(T.final_answer(F.col("yanit")))).join(gold, "id")
-    right = F.when(F.col("given") == F.col("gold"), 1).otherwise(0)
-    return a.groupBy("model", "kosul").agg(F.sum(right).alias("correct"), F.count("given").alias("answered"), F.count(F.lit(1)).alias("n"))
-
-
-def number_grades(spark: SparkSession, d: str) -> DataFrame:
-    gold = S.questions(spark, d).where(T.gold_type(F.col("answer")) == "number").select(F.col("qid").alias("id"), F.col("answer").alias("gold"), "question")
-    a = latest_success(spark, d).join(gold, "id")
-    g = a.select("model", "kosul", grading.number_grade(F.col("gold"), T.final_answer(F.col("yanit")), F.col("question")).alias("g"))
-    yes = lambda c: F.sum(F.coalesce(F.col(c).cast("int"), F.lit(0)))
-    return g.groupBy("model", "kosul").agg(yes("g.precise").alias("precise"), yes("g.tolerant").alias("tolerant"), F.count(F.lit(1)).alias("n"))
-
-
-def _key_number_cells(a: DataFrame) -> DataFrame:
-    """Mean share and all-found share of (model, kosul, gold, yanit) by model and condition; gold without key numbers is left out."""
-    g = a.select("model", "kosul", grading.key_number_grade(F.col("gold"), F.col("yanit")).alias("g")).where("g IS NOT NULL")
-    share, everything = F.round(F.avg("g.share"), 6), F.round(F.avg(F.col("g.everything").cast("int")), 6)
-    return g.groupBy("model", "kosul").agg(share.alias("mean_share"), everything.alias("all_found"), F.count(F.lit(1)).alias("n"))
-
-
-def key_number_grades(spark: SparkSession, d: str) -> DataFrame:
-    """Answers to questions whose gold answer is a text with numbers: the share of its key numbers that they repeat."""
-    gold = S.questions(spark, d).where(T.gold_type(F.col("answer")) == "key_number").select(F.col("qid").alias("id"), F.col("answer").alias("gold"))
-    return _key_number_cells(latest_success(spark, d).join(gold, "id"))
-
-
-def key_number_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """The same against every evidence text of a question."""
-    e = S.evidence(spark, d).where("text IS NOT NULL").select(F.col("qid").alias("id"), F.col("text").alias("gold"))
-    return _key_number_cells(latest_success(spark, d).join(e, "id"))
-
-
 def common_graded(spark: SparkSession, d: str) -> DataFrame:
     """Questions with a sound answer in every model and condition."""
     a = _answers(spark, d).where("hata IS NULL AND yanit IS NOT NULL").select("id", "model", "kosul").distinct()
-    cells = a.select("model", "kosul").distinct().count()
-    return a.groupBy("id").agg(F.count(F.lit(1)).alias("cells")).where(F.col("cells") == cells)
+    every = a.select("model", "kosul").distinct().agg(F.count(F.lit(1)).alias("every"))  # one row
+    return a.groupBy("id").agg(F.count(F.lit(1)).alias("cells")).crossJoin(every).where("cells = every").select("id", "cells")
 
 
 def yes_baseline(spark: SparkSession, d: str) -> DataFrame:
-    gold = S.questions(spark, d).select(T.verdict(F.col("answer")).alias("gold")).where("gold IS NOT NULL")
+    """Gold answers that open with yes or no, by which: the accuracy of always saying one of them."""
+    gold = S.questions(spark, d).where(T.gold_type(F.col("answer")) == "verdict").select(T.verdict(F.trim("answer")).alias("gold"))
     return gold.groupBy("gold").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -121,7 +84,8 @@ def citation_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_scores(spark: SparkSession, d: str) -> DataFrame:
-    return grading.citation_scores(_cited(spark, d).select("record", "qid", "pages"), S.evidence(spark, d))
+    """Cited pages of each answer, those that hold evidence, and those in the question's context of 1000 words."""
+    return grading.citation_scores(_cited(spark, d).select("record", "qid", "pages"), S.evidence(spark, d), evaluation.context_pages(spark, d))
 
 
 def citation_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +93,7 @@ def citation_rollup(spark: SparkSession, d: str) -> DataFrame:
     scored = citation_scores(spark, d).join(cells, "record").groupBy("model", "kosul")
     return scored.agg(
         F.count(F.when(F.col("n_cited") == 0, 1)).alias("without"), F.count(F.when(F.col("n_right") > 0, 1)).alias("hits"), F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(F.when(F.col("n_cited") > 0, F.col("n_right") / F.col("n_cited"))), 6).alias("precision"),
+        *[F.round(F.avg(F.when(F.col("n_cited") > 0, F.col(c) / F.col("n_cited"))), 6).alias(name) for c, name in (("n_right", "precision"), ("n_seen", "in_context"))],
     )
 
 
@@ -139,19 +103,26 @@ def pilot_first4(spark: SparkSession, d: str) -> DataFrame:
 
 def quota_sample(spark: SparkSession, d: str) -> DataFrame:
     """A fixed number of answers for each way of ending, the first by a hash of the key: 4, 3 and 1, then 2."""
-    a = _answers(spark, d).select("kayit_no").join(table(spark, d, "cevaplar", "kayit_no", "bitis_nedeni"), "kayit_no")
-    a = a.withColumn("ending", F.coalesce(F.regexp_replace("bitis_nedeni", r"^FinishReason\.", ""), F.lit("none")))
+    a = table(spark, d, "cevaplar", "kayit_no", "bitis_nedeni").withColumn("ending", F.coalesce(F.regexp_replace("bitis_nedeni", r"^FinishReason\.", ""), F.lit("none")))
     quota = F.when(F.col("ending") == "STOP", 4).when(F.col("ending") == "MAX_TOKENS", 3).when(F.col("ending") == "none", 1).otherwise(2)
     order = [F.asc(F.sha2(F.col("kayit_no").cast("string"), 256))]
     return ranked(a, ["ending"], order, 4).where(F.col("rank") <= quota).select("ending", "kayit_no", "rank")
 
 
 def blind_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Letters for the answers of each question of a pilot, in an order that shows neither model nor condition."""
-    a = latest_success(spark, d).where("prompt_surum = 'v3'").select("id", "model", "kosul", "kayit_no")
-    order = F.md5(F.concat_ws("|", F.lit("42"), "id", "model", "kosul"))
-    lettered = ranked(a, ["id"], [order.asc()], 26)
-    return lettered.select("id", "model", "kosul", F.char(F.lit(64) + F.col("rank")).alias("letter"))
+    """A letter for each answer of a question, in an order that shows neither model, condition nor prompt; after Z the letters
+    begin again with a number (A2). ``place`` hides the order of the questions in the same way. Key of the assignment: kayit_no."""
+    order = F.md5(F.concat_ws("|", F.lit("42"), *CELL))
+    a = latest_success(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(order)) - 1)
+    again = F.when(F.col("n") >= 26, F.floor(F.col("n") / 26).cast("int") + 1).cast("string")
+    letter = F.concat(F.char(F.lit(65) + F.col("n") % 26), F.coalesce(again, F.lit("")))
+    return a.select("kayit_no", *CELL, letter.alias("letter"), F.md5(F.concat_ws("|", F.lit("42"), "id")).alias("place"))
+
+
+def blind_answers(spark: SparkSession, d: str) -> DataFrame:
+    """What a blind reader sees of each answer: question, letter and the text without its sources; not who gave it."""
+    seen = latest_success(spark, d).select("kayit_no", T.without_sources(F.col("yanit")).alias("text"))
+    return blind_assignment(spark, d).join(seen, "kayit_no").select("place", "letter", F.md5("text").alias("text_md5"), F.length("text").alias("chars"))
 
 
 def rescore_agreement(spark: SparkSession, d: str) -> DataFrame:
@@ -162,15 +133,16 @@ def rescore_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def usage_totals(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "cevaplar", "model", "kullanim")
-    return a.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("kullanim.girdi").alias("tokens_in"), F.sum("kullanim.cikti").alias("tokens_out"), F.round(F.avg("kullanim.dusunme"), 6).alias("mean_thinking"))
+    a = table(spark, d, "cevaplar", "model", "kullanim", "maliyet_usd")
+    return a.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("kullanim.girdi").alias("tokens_in"), F.sum("kullanim.cikti").alias("tokens_out"), F.round(F.avg("kullanim.dusunme"), 6).alias("mean_thinking"), F.round(F.sum("maliyet_usd"), 6).alias("cost"))
 
 
 def present_absent(spark: SparkSession, d: str) -> DataFrame:
     """Yes-or-no accuracy where an evidence page was cited, and where none was."""
-    gold = S.questions(spark, d).select("qid", T.verdict(F.col("answer")).alias("gold")).where("gold IS NOT NULL")
+    gold = S.questions(spark, d).where(T.gold_type(F.col("answer")) == "verdict").select("qid", T.verdict(F.trim("answer")).alias("gold"))
     given = latest_success(spark, d).select(F.col("kayit_no").alias("record"), T.verdict(T.final_answer(F.col("yanit"))).alias("given"))
-    a = citation_scores(spark, d).join(gold, "qid").join(given, "record").withColumn("present", F.col("n_right") > 0)
+    scores = grading.citation_scores(_cited(spark, d).select("record", "qid", "pages"), S.evidence(spark, d))
+    a = scores.join(gold, "qid").join(given, "record").withColumn("present", F.col("n_right") > 0)
     return a.groupBy("present").agg(F.sum(F.when(F.col("given") == F.col("gold"), 1).otherwise(0)).alias("correct"), F.count(F.lit(1)).alias("n"))
 
 
@@ -182,6 +154,17 @@ def company_mentions(spark: SparkSession, d: str) -> DataFrame:
     return routing.mentions(S.questions(spark, d).select("qid", "question"), _catalog(spark, d))
 
 
+def company_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The first rule alone: all documents of the companies that a question names."""
+    return routing.company_documents(S.questions(spark, d).select("qid", "question"), _catalog(spark, d)).select("qid", "doc_name").distinct()
+
+
+def routed_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The best 100 chunks of the documents that each question is routed to; of all where it is routed nowhere."""
+    scored = S.scores(spark, d).join(S.chunks(spark, d).select("chunk_id", "doc"), "chunk_id")
+    return routing.routed_ranking(scored, routed_documents(spark, d)).select("qid", "chunk_id", "rank")
+
+
 def routed_documents(spark: SparkSession, d: str) -> DataFrame:
     return routing.route(S.questions(spark, d).select("qid", "question"), _catalog(spark, d))
 
@@ -193,61 +176,57 @@ def question_years(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        latest_success_keys, missing_answers, request_fingerprint, gold_types, final_answers, insufficiency_flags, number_extraction, verdict_grades, number_grades, key_number_grades, key_number_evidence,
-        common_graded, yes_baseline, citation_pages, citation_scores, citation_rollup, pilot_first4, quota_sample, blind_assignment, rescore_agreement, usage_totals, present_absent,
-        company_mentions, routed_documents, question_years,
+        latest_success_keys, missing_answers, request_fingerprint, gold_types, final_answers, insufficiency_flags, common_graded, yes_baseline, citation_pages, citation_scores, citation_rollup, pilot_first4,
+        quota_sample, blind_assignment, blind_answers, rescore_agreement, usage_totals, present_absent, company_mentions, company_documents, routed_documents, routed_ranking, question_years,
     )
 }
 
-_OK = """ok AS (SELECT * FROM cevaplar WHERE hata IS NULL AND yanit IS NOT NULL),
-  latest AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY id, kosul, model, prompt_surum ORDER BY tarih DESC NULLS LAST, kayit_no DESC) = 1)"""
-_PLAIN = "regexp_replace({0}, '[*`]+', '', 'g')"
-_FINAL = (
-    r"trim(regexp_replace(regexp_replace(list_extract(regexp_split_to_array(regexp_replace("
-    + _PLAIN
-    + r", '(?im)^[*_ ]*sources?[ ]*:.*$', '', 'g'), '(?i)final answer\s*[:\-]'), -1), '^[\s]+', ''), '[\s]+$', ''), ' ')"
-)
-_VERDICT = r"nullif(lower(regexp_extract({0}, '(?i)^[^A-Za-z]*(yes|no)($|[ ]*[,.;:!\n])', 1)), '')"
-_GOLD = rf"""CASE WHEN answer IS NULL THEN NULL WHEN regexp_matches(lower(answer), '{T.PURE_NUMBER}') THEN 'number'
-  WHEN regexp_matches(lower(answer), '^[^a-z]*(yes|no)([^a-z]|$)') THEN 'verdict' WHEN regexp_matches(lower(answer), '[0-9]') THEN 'key_number' ELSE 'free' END"""
-_CITED = rf"""cl AS (SELECT kayit_no AS record, id AS qid, model, kosul, yanit, array_to_string(regexp_extract_all({_PLAIN.format('yanit')}, '(?im)^([ ]*sources?[ ]*:.*)$', 1), chr(10)) AS line FROM latest),
-  cx AS (SELECT record, qid, model, kosul, regexp_extract_all(line, '{T.CITATION}', 1) AS docs, regexp_extract_all(line, '{T.CITATION}', 2) AS pages FROM cl),
-  cp AS (SELECT record, qid, docs[i] AS doc, pages[i]::INT AS page, min(i) AS i FROM cx, unnest(range(1, len(docs) + 1)) AS u(i) GROUP BY ALL),
-  gold AS (SELECT DISTINCT qid, doc, page FROM ev),
-  cs AS (SELECT cx.record, any_value(cx.qid) AS qid, count(cp.doc) AS n_cited, count(gold.doc) AS n_right FROM cx LEFT JOIN cp ON cx.record = cp.record
-    LEFT JOIN gold ON gold.qid = cp.qid AND gold.doc = cp.doc AND gold.page = cp.page GROUP BY cx.record)"""
+_PARTS = f"{OK}, {parts_sql('latest')}"
+_TRIMMED = "trim(answer, ' ')"
+#: Cited pages (cp), their scores (cs) against evidence (gold) and the window (seen).
+_CITED = rf"""cx AS (SELECT kayit_no AS record, id AS qid, model, kosul, final, regexp_extract_all(src, '(?i)([a-z0-9][a-z0-9_.\-]*)\s*,\s*(?:(?:sayfa|page|p)\b\.?)?[\s:]*([0-9]+)', 1) AS docs,
+    regexp_extract_all(src, '(?i)([a-z0-9][a-z0-9_.\-]*)\s*,\s*(?:(?:sayfa|page|p)\b\.?)?[\s:]*([0-9]+)', 2) AS pages FROM pt),
+  cp AS (SELECT record, qid, docs[i] AS doc, TRY_CAST(pages[i] AS INT) AS page, min(i) AS i FROM cx, unnest(range(1, len(docs) + 1)) AS u(i) GROUP BY ALL), gold AS (SELECT DISTINCT qid, doc, page FROM ev)"""
+_SCORED = "cs AS (SELECT cx.record, any_value(cx.qid) AS qid, count(cp.doc) AS n_cited, count(gold.doc) AS n_right{0} FROM cx LEFT JOIN cp ON cx.record = cp.record LEFT JOIN gold ON gold.qid = cp.qid AND gold.doc = cp.doc AND gold.page = cp.page{1} GROUP BY cx.record)"
+_SEEN = _SCORED.format(", count(seen.doc) AS n_seen", " LEFT JOIN seen ON seen.qid = cp.qid AND seen.doc = cp.doc AND seen.page = cp.page")
+#: Letters in the hidden order; after Z they begin again with a number.
+_BLIND = """bl AS (SELECT kayit_no, id, kosul, model, prompt_surum, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws('|', '42', id, kosul, model, prompt_surum))) - 1 AS n FROM latest),
+  blind AS (SELECT *, chr((65 + n % 26)::INT) || CASE WHEN n >= 26 THEN (n // 26 + 1)::VARCHAR ELSE '' END AS letter, md5(concat_ws('|', '42', id)) AS place FROM bl)"""
+_ROUTED = f"WITH {S.QUESTIONS}, {routing_sql.MENTIONS}, {routing_sql.ROUTE}"
 
 SQL = {
-    "latest_success_keys": f"WITH {_OK} SELECT kayit_no, id, kosul, model, prompt_surum FROM latest",
-    "missing_answers": f"""WITH {S.QUESTIONS}, {_OK}, k AS (SELECT DISTINCT kosul FROM cevaplar WHERE kosul IS NOT NULL), w AS (SELECT qid AS id, kosul FROM q, k)
+    "latest_success_keys": f"WITH {OK} SELECT kayit_no, id, kosul, model, prompt_surum FROM latest",
+    "missing_answers": f"""WITH {S.QUESTIONS}, {OK}, k AS (SELECT DISTINCT kosul FROM cevaplar WHERE kosul IS NOT NULL), w AS (SELECT qid AS id, kosul FROM q, k)
         SELECT w.id, w.kosul FROM w ANTI JOIN ok ON ok.id = w.id AND ok.kosul = w.kosul""",
-    "request_fingerprint": f"WITH {S.QUESTIONS} SELECT c.kayit_no, sha256(concat_ws(chr(10), id, kosul, model, prompt_surum, question)) AS fingerprint FROM cevaplar c JOIN q ON q.qid = c.id",
-    "gold_types": rf"SELECT kayit_no, {_GOLD} AS gold_type, nullif(lower(regexp_extract(question, '(?i)\b(thousands|millions|billions)\b', 1)), '') AS unit FROM sorular",
-    "final_answers": f"SELECT kayit_no, {_FINAL.format('yanit')} AS final FROM cevaplar WHERE yanit IS NOT NULL",
-    "insufficiency_flags": f"SELECT model, kosul, sum(regexp_matches(yanit, '{T.INSUFFICIENT}')::INT)::BIGINT AS flagged, count(*) AS n FROM cevaplar WHERE yanit IS NOT NULL GROUP BY ALL",
-    "verdict_grades": f"""WITH {S.QUESTIONS}, {_OK}, g AS (SELECT qid, {_VERDICT.format('answer')} AS gold FROM q),
-        a AS (SELECT model, kosul, gold, {_VERDICT.format(_FINAL.format('yanit'))} AS given FROM latest JOIN g ON g.qid = latest.id WHERE gold IS NOT NULL)
-        SELECT model, kosul, sum(CASE WHEN given = gold THEN 1 ELSE 0 END)::BIGINT AS correct, count(given) AS answered, count(*) AS n FROM a GROUP BY ALL""",
-    "common_graded": f"""WITH {_OK}, a AS (SELECT DISTINCT id, model, kosul FROM ok), c AS (SELECT count(*) AS n FROM (SELECT DISTINCT model, kosul FROM a))
+    "request_fingerprint": f"WITH {S.QUESTIONS} SELECT c.kayit_no, sha256(to_json({{'id': id, 'kosul': kosul, 'model': model, 'prompt_surum': prompt_surum, 'question': question}})::VARCHAR) AS fingerprint FROM cevaplar c JOIN q ON q.qid = c.id",
+    "gold_types": f"SELECT kayit_no, {GOLD_TYPE} AS gold_type, {UNIT} AS unit FROM sorular",
+    "final_answers": f"WITH {parts_sql('(SELECT kayit_no, yanit FROM cevaplar WHERE yanit IS NOT NULL)')} SELECT kayit_no, final FROM pt",
+    "insufficiency_flags": r"""SELECT model, kosul, sum(regexp_matches(yanit, '(?i)insufficient information|not enough information|cannot be determined|not disclosed|not available|unable to (determine|answer|confirm|state|derive|calculate)')::INT)::BIGINT AS flagged,
+        count(*) AS n FROM cevaplar WHERE yanit IS NOT NULL GROUP BY ALL""",
+    "common_graded": f"""WITH {OK}, a AS (SELECT DISTINCT id, model, kosul FROM ok), c AS (SELECT count(*) AS n FROM (SELECT DISTINCT model, kosul FROM a))
         SELECT id, count(*) AS cells FROM a GROUP BY id HAVING count(*) = (SELECT n FROM c)""",
-    "yes_baseline": f"WITH {S.QUESTIONS}, g AS (SELECT {_VERDICT.format('answer')} AS gold FROM q) SELECT gold, count(*) AS n FROM g WHERE gold IS NOT NULL GROUP BY gold",
-    "citation_pages": f"WITH {S.EVIDENCE}, {_OK}, {_CITED} SELECT record, (row_number() OVER (PARTITION BY record ORDER BY i) - 1)::INT AS place, doc, page FROM cp",
-    "citation_scores": f"WITH {S.EVIDENCE}, {_OK}, {_CITED} SELECT * FROM cs",
-    "citation_rollup": f"""WITH {S.EVIDENCE}, {_OK}, {_CITED} SELECT model, kosul, count(*) FILTER (WHERE n_cited = 0) AS without, count(*) FILTER (WHERE n_right > 0) AS hits, count(*) AS n,
-        round(avg(CASE WHEN n_cited > 0 THEN n_right / n_cited END), 6) AS precision FROM cs JOIN cx USING (record) GROUP BY ALL""",
+    "yes_baseline": f"WITH {S.QUESTIONS} SELECT {verdict_sql(_TRIMMED)} AS gold, count(*) AS n FROM q WHERE {GOLD_TYPE} = 'verdict' GROUP BY 1",
+    "citation_pages": f"WITH {S.EVIDENCE}, {_PARTS}, {_CITED} SELECT record, (row_number() OVER (PARTITION BY record ORDER BY i) - 1)::INT AS place, doc, page FROM cp",
+    "citation_scores": f"{evaluation.BUDGET_SQL}, {_PARTS}, {_CITED}, {_SEEN} SELECT * FROM cs",
+    "citation_rollup": f"""{evaluation.BUDGET_SQL}, {_PARTS}, {_CITED}, {_SEEN} SELECT model, kosul, count(*) FILTER (WHERE n_cited = 0) AS without, count(*) FILTER (WHERE n_right > 0) AS hits, count(*) AS n,
+        round(avg(CASE WHEN n_cited > 0 THEN n_right / n_cited END), 6) AS precision, round(avg(CASE WHEN n_cited > 0 THEN n_seen / n_cited END), 6) AS in_context FROM cs JOIN cx USING (record) GROUP BY ALL""",
     "pilot_first4": f"WITH {S.QUESTIONS} SELECT question_type, qid, row_number() OVER (PARTITION BY question_type ORDER BY qid)::INT AS rank FROM q QUALIFY rank <= 4",
     "quota_sample": r"""WITH a AS (SELECT kayit_no, coalesce(regexp_replace(bitis_nedeni, '^FinishReason\.', ''), 'none') AS ending FROM cevaplar),
         r AS (SELECT *, row_number() OVER (PARTITION BY ending ORDER BY sha256(kayit_no::VARCHAR))::INT AS rank FROM a)
         SELECT ending, kayit_no, rank FROM r WHERE rank <= CASE ending WHEN 'STOP' THEN 4 WHEN 'MAX_TOKENS' THEN 3 WHEN 'none' THEN 1 ELSE 2 END""",
-    "blind_assignment": f"""WITH {_OK}, r AS (SELECT id, model, kosul, row_number() OVER (PARTITION BY id ORDER BY md5(concat_ws('|', '42', id, model, kosul))) AS rank FROM latest WHERE prompt_surum = 'v3')
-        SELECT id, model, kosul, chr((64 + rank)::INT) AS letter FROM r WHERE rank <= 26""",
-    "rescore_agreement": f"""WITH {_OK}, e AS (SELECT id, kosul, model, prompt_surum, arg_min({_FINAL.format('yanit')}, kayit_no) AS a, arg_max({_FINAL.format('yanit')}, kayit_no) AS b FROM ok GROUP BY ALL HAVING count(*) > 1)
+    "blind_assignment": f"WITH {OK}, {_BLIND} SELECT kayit_no, id, kosul, model, prompt_surum, letter, place FROM blind",
+    "blind_answers": f"WITH {_PARTS}, {_BLIND} SELECT place, letter, md5(body) AS text_md5, length(body)::INT AS chars FROM blind JOIN pt USING (kayit_no)",
+    "rescore_agreement": f"""WITH {OK}, {parts_sql('ok')}, e AS (SELECT id, kosul, model, prompt_surum, arg_min(final, kayit_no) AS a, arg_max(final, kayit_no) AS b FROM pt GROUP BY ALL HAVING count(*) > 1)
         SELECT model, count(*) AS common, sum((a = b)::INT)::BIGINT AS same FROM e GROUP BY model""",
-    "usage_totals": "SELECT model, count(*) AS calls, sum(kullanim.girdi)::BIGINT AS tokens_in, sum(kullanim.cikti)::BIGINT AS tokens_out, round(avg(kullanim.dusunme), 6) AS mean_thinking FROM cevaplar GROUP BY model",
-    "present_absent": f"""WITH {S.EVIDENCE}, {_OK}, {_CITED}, g AS (SELECT qid, {_VERDICT.format('answer')} AS gold FROM q),
-        a AS (SELECT n_right > 0 AS present, gold, {_VERDICT.format(_FINAL.format('yanit'))} AS given FROM cs JOIN g USING (qid) JOIN latest ON latest.kayit_no = cs.record WHERE gold IS NOT NULL)
+    "usage_totals": "SELECT model, count(*) AS calls, sum(kullanim.girdi)::BIGINT AS tokens_in, sum(kullanim.cikti)::BIGINT AS tokens_out, round(avg(kullanim.dusunme), 6) AS mean_thinking, round(sum(maliyet_usd), 6) AS cost FROM cevaplar GROUP BY model",
+    "present_absent": f"""WITH {S.EVIDENCE}, {_PARTS}, {_CITED}, {_SCORED.format('', '')}, g AS (SELECT qid, {verdict_sql(_TRIMMED)} AS gold FROM q WHERE {GOLD_TYPE} = 'verdict'),
+        a AS (SELECT n_right > 0 AS present, gold, {verdict_sql('final')} AS given FROM cs JOIN g USING (qid) JOIN cx USING (record))
         SELECT present, sum(CASE WHEN given = gold THEN 1 ELSE 0 END)::BIGINT AS correct, count(*) AS n FROM a GROUP BY present""",
-    "company_mentions": f"WITH {S.QUESTIONS}, {routing.SQL_MENTIONS} SELECT qid, company FROM mention",
-    "routed_documents": f"WITH {S.QUESTIONS}, {routing.SQL_MENTIONS}, {routing.SQL_ROUTE} SELECT qid, doc_name, rule FROM routed",
-    "question_years": f"WITH {S.QUESTIONS}, {routing.SQL_YEARS} SELECT qid, year FROM years",
+    "company_mentions": f"WITH {S.QUESTIONS}, {routing_sql.MENTIONS} SELECT qid, company FROM mention",
+    "company_documents": f"{_ROUTED} SELECT DISTINCT qid, doc_name FROM found",
+    "routed_documents": f"{_ROUTED} SELECT qid, doc_name, rule FROM routed",
+    "routed_ranking": f"""{_ROUTED}, {S.SCORES}, {S.CHUNKS}, sc AS (SELECT score.*, chunk.doc FROM score JOIN chunk USING (chunk_id)),
+        inside AS (SELECT sc.* FROM sc SEMI JOIN routed r ON r.qid = sc.qid AND r.doc_name = sc.doc UNION ALL SELECT * FROM sc WHERE qid NOT IN (SELECT qid FROM routed))
+        SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id)::INT AS rank FROM inside QUALIFY rank <= 100""",
+    "question_years": f"WITH {S.QUESTIONS}, {routing_sql.YEARS} SELECT qid, year FROM years",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.operators import quantities
-from quillspan.plans import answers, audits, evaluation, retrieval
+from quillspan.plans import answers, audits, evaluation, grades, retrieval
 from quillspan.sources.tables import table
 
 
@@ -16,7 +16,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return quantities.stated_quantities(questions, table(spark, d, "cevaplar", "kayit_no", "id", "yanit"))
 
 
-MODULES = (retrieval, evaluation, answers, audits)
+MODULES = (retrieval, evaluation, answers, grades, audits)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,7 +56,7 @@ def budget_window(spark: SparkSession, d: str) -> DataFrame:
 
 def budget_recall(spark: SparkSession, d: str) -> DataFrame:
     """Evidence rows whose page is in the window of 1000 words."""
-    pages = metrics.within_budget(_budgeted(spark, d)).select("qid", "doc", "page").distinct().withColumn("hit", F.lit(1))
+    pages = context_pages(spark, d).withColumn("hit", F.lit(1))
     found = S.evidence(spark, d).join(pages, ["qid", "doc", "page"], "left")
     return found.agg(F.count("hit").alias("num"), F.count(F.lit(1)).alias("den"))
 
@@ -80,9 +80,14 @@ def oracle_context(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("qid").agg(F.array_join(pages, " ").alias("pages"), F.count(F.lit(1)).alias("n"))
 
 
+def context_pages(spark: SparkSession, d: str) -> DataFrame:
+    """(qid, doc, page) of the chunks in each question's window of 1000 words."""
+    return metrics.within_budget(_budgeted(spark, d)).select("qid", "doc", "page").distinct()
+
+
 def context_hit(spark: SparkSession, d: str) -> DataFrame:
     """Whether the window holds any evidence page of the question."""
-    pages = metrics.within_budget(_budgeted(spark, d)).select("qid", "doc", "page").distinct().withColumn("seen", F.lit(1))
+    pages = context_pages(spark, d).withColumn("seen", F.lit(1))
     e = S.evidence(spark, d).join(pages, ["qid", "doc", "page"], "left")
     return e.groupBy("qid").agg((F.count("seen") > 0).alias("hit"))
 
@@ -142,7 +147,7 @@ _HITS = f"""WITH {S.RANKING}, {S.CHUNKS}, {S.EVIDENCE}, located AS (SELECT * FRO
   hits AS (SELECT ev.qid, ev.ev, min(l.rank) AS hit FROM ev LEFT JOIN located l ON l.qid = ev.qid AND l.doc = ev.doc AND l.page = ev.page GROUP BY ALL)"""
 _BUCKET = "CASE WHEN hit IS NULL THEN 'none' WHEN hit <= 5 THEN '1-5' WHEN hit <= 10 THEN '6-10' WHEN hit <= 50 THEN '11-50' ELSE '51-100' END"
 _W, _T = S.WORDS.format("text"), S.TOKENS.format("text")
-_BUDGET = (
+BUDGET_SQL = (
     _HITS
     + f""", counted AS (SELECT * EXCLUDE (n_words), coalesce(len({_W}), 0)::INT AS n_words FROM located),
   win AS (SELECT * FROM (SELECT *, coalesce(sum(n_words) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM counted) WHERE before < 1000),
@@ -174,22 +179,22 @@ SQL = {
     + """, b AS (SELECT ev.qid, min(rank) AS rank FROM ev LEFT JOIN located l ON l.qid = ev.qid AND l.doc = ev.doc WHERE ev.doc IS NOT NULL GROUP BY ev.qid)
   SELECT count(*) AS n, count(*) FILTER (WHERE rank <= 5) AS hit_at_5, count(*) FILTER (WHERE rank <= 50) AS hit_at_50 FROM b""",
     "rank_buckets_by_type": _HITS + f" SELECT question_type, {_BUCKET} AS bucket, count(*) AS n FROM hits JOIN q USING (qid) GROUP BY ALL",
-    "budget_window": _BUDGET + " SELECT qid, chunk_id, rank, n_words, before FROM win",
-    "budget_recall": _BUDGET + " SELECT count(s.qid) AS num, count(*) AS den FROM ev LEFT JOIN seen s ON s.qid = ev.qid AND s.doc = ev.doc AND s.page = ev.page",
-    "context_cut": _BUDGET + " SELECT qid, chunk_id, rank, least(n_words::BIGINT, 1000 - before) AS taken FROM win",
-    "context_render": _BUDGET
+    "budget_window": BUDGET_SQL + " SELECT qid, chunk_id, rank, n_words, before FROM win",
+    "budget_recall": BUDGET_SQL + " SELECT count(s.qid) AS num, count(*) AS den FROM ev LEFT JOIN seen s ON s.qid = ev.qid AND s.doc = ev.doc AND s.page = ev.page",
+    "context_cut": BUDGET_SQL + " SELECT qid, chunk_id, rank, least(n_words::BIGINT, 1000 - before) AS taken FROM win",
+    "context_render": BUDGET_SQL
     + f""", cut AS (SELECT *, least(n_words, 1000 - before) AS taken FROM win),
   c AS (SELECT qid, string_agg('[doc: ' || doc || ', page: ' || page || ']' || chr(10) || array_to_string(({_W})[1:taken], ' '), chr(10) || chr(10) ORDER BY rank) AS context FROM cut WHERE taken > 0 GROUP BY qid)
   SELECT qid, length(context)::INT AS chars, md5(context) AS context_md5 FROM c""",
     "oracle_context": f"WITH {S.EVIDENCE}, p AS (SELECT DISTINCT qid, doc, page FROM ev WHERE doc IS NOT NULL AND page IS NOT NULL) SELECT qid, string_agg(doc || ':' || page, ' ' ORDER BY doc, page) AS pages, count(*) AS n FROM p GROUP BY qid",
-    "context_hit": _BUDGET + " SELECT ev.qid, count(s.qid) > 0 AS hit FROM ev LEFT JOIN seen s ON s.qid = ev.qid AND s.doc = ev.doc AND s.page = ev.page GROUP BY ev.qid",
+    "context_hit": BUDGET_SQL + " SELECT ev.qid, count(s.qid) > 0 AS hit FROM ev LEFT JOIN seen s ON s.qid = ev.qid AND s.doc = ev.doc AND s.page = ev.page GROUP BY ev.qid",
     "text_coverage_at_k": _HITS
     + f""", wt AS (SELECT qid, ev, {S.TOKENS.format('text')} AS w FROM ev), wg AS (SELECT qid, ev, list_distinct({S.sql_ngrams('w', 5)}) AS g FROM wt WHERE len(w) >= 5),
   lt AS (SELECT qid, rank, {_T} AS w FROM located WHERE rank <= 10), lg AS (SELECT qid, rank, unnest(list_distinct({S.sql_ngrams('w', 5)})) AS gram FROM lt),
   wl AS (SELECT qid, ev, unnest(g) AS gram FROM wg), sh AS (SELECT wl.qid, ev, rank, count(*) AS shared FROM wl JOIN lg ON wl.qid = lg.qid AND wl.gram = lg.gram GROUP BY ALL)
   SELECT wg.qid, wg.ev, k::INT AS k, coalesce((max(shared) FILTER (WHERE rank <= k)), 0) AS covered, len(any_value(g)) AS size
   FROM wg CROSS JOIN unnest([1, 5, 10]) AS u(k) LEFT JOIN sh ON sh.qid = wg.qid AND sh.ev = wg.ev GROUP BY ALL""",
-    "union_coverage": _BUDGET
+    "union_coverage": BUDGET_SQL
     + f""", wt AS (SELECT qid, ev, {S.TOKENS.format('text')} AS w FROM ev), wl AS (SELECT qid, ev, unnest(list_distinct({S.sql_ngrams('w', 5)})) AS gram FROM wt),
   lt AS (SELECT qid, {_T} AS w FROM win), lg AS (SELECT DISTINCT qid, gram FROM (SELECT qid, unnest({S.sql_ngrams('w', 5)}) AS gram FROM lt))
   SELECT wl.qid, ev, count(lg.gram) AS covered, count(*) AS size FROM wl LEFT JOIN lg ON wl.qid = lg.qid AND wl.gram = lg.gram GROUP BY ALL""",

@@ -11,10 +11,13 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a private one only where that is unset (tests, local mode)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a private one only where that is unset in local mode (tests). On a
+    cluster executors could not see it, so there the setting must be given."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="spark-quillspan-")
