@@ -10,6 +10,7 @@ Null and empty texts have an empty list of ids.
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 import re
 from collections.abc import Iterator
@@ -56,23 +57,29 @@ class Vocabulary:
 
 
 def merge(word: bytes, ids: dict[bytes, int], below: int | None = None) -> list[bytes]:
-    """Exact merging of one word: the pair that makes the lowest id is joined first, the leftmost of equals."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        made = [ids.get(a + b) for a, b in zip(parts, parts[1:])]
-        open_ = [m for m in made if m is not None and (below is None or m < below)]
-        if not open_:
-            break
-        best, joined, i = min(open_), [], 0
-        while i < len(parts):
-            if i < len(made) and made[i] == best:
-                joined.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                joined.append(parts[i])
-                i += 1
-        parts = joined
-    return parts
+    """Exact merging of one word: the pair that makes the lowest id is joined first, the leftmost of equals. Open pairs wait in a
+    heap and parts are linked to their neighbours, so a word of n bytes takes about n log n steps."""
+    n = len(word)
+    parts: list[bytes | None] = [word[i : i + 1] for i in range(n)]
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    limit = 1 << 62 if below is None else below
+    get = ids.get
+    heap = [(made, i, i + 1) for i in range(n - 1) if (made := get(word[i : i + 2], limit)) < limit]
+    heapq.heapify(heap)
+    while heap:
+        made, i, j = heapq.heappop(heap)
+        a, b = parts[i], parts[j]
+        if a is None or b is None or after[i] != j or get(a + b) != made:
+            continue  # one of the two has been joined to something else
+        parts[i], parts[j] = a + b, None
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if (made := get(parts[i] + parts[k], limit)) < limit:
+                heapq.heappush(heap, (made, i, k))
+        if (h := before[i]) >= 0 and (made := get(parts[h] + parts[i], limit)) < limit:
+            heapq.heappush(heap, (made, h, i))
+    return [p for p in parts if p is not None]
 
 
 def load_vocabulary(path: str) -> Vocabulary:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,17 @@ def test_failing_words_need_and_get_exact_merges():
     assert ids.tolist() == [v.ids[p] for w in changed for p in bytebpe.merge(w.encode(), v.ids)]
 
 
+def test_one_very_long_word_takes_seconds(reference):
+    rng = random.Random(8)
+    word = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(1_000_000))
+    began = time.time()
+    ids, _ = bytebpe.Encoder(bytebpe.load_vocabulary(VOCABULARY)).encode([word, word[:5000] + "."])
+    assert time.time() - began < 60
+    tail = reference.encode_ordinary(word[:5000] + ".")
+    assert ids[-len(tail) :].tolist() == tail
+    assert b"".join(reference.decode_single_token_bytes(int(i)) for i in ids[: -len(tail)]) == word.encode()
+
+
 def test_empty_table_and_null_id(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert bytebpe.encode_corpus(empty, "doc_id", "text").count() == 0
