@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -57,30 +58,61 @@ LETTERS = {"tr": "ışğİ", "de": "äß", "fr": "èêàûœ", "es": "ñ¿¡áí
 LANGUAGES = {w: {k for k in LANGUAGE_WORDS if w in LANGUAGE_WORDS[k].split()} for k in LANGUAGE_WORDS for w in LANGUAGE_WORDS[k].split()}
 
 
+SIGNS, SOLID, DIGIT, QUOTED = re.compile(r"[\W_]+"), re.compile(r"[^\W_]"), re.compile(r"\d"), re.compile(r"['‘\"“][^'\n]{8,60}['’\"”]")
+#: Numbers of features by name; bounded, as names hold words.
+CODES: dict[str, int] = {}
+MOST_CODES = 300_000
+
+
+def code_of(feature: str) -> int:
+    if len(CODES) > MOST_CODES:
+        CODES.clear()
+    return CODES.setdefault(feature, crc32(feature.encode()) % BUCKETS)
+
+
+@lru_cache(maxsize=4096)  # a question comes with many answers and is met in each of their clauses
 def bare(text: str) -> str:
-    return "".join(c for c in text.lower().replace("ı", "i") if c.isalnum())
+    return SIGNS.sub("", text.lower().replace("ı", "i"))
+
 
+@lru_cache(maxsize=4096)
+def word_set(text: str) -> frozenset[str]:
+    return frozenset(WORD.findall(text.lower()))
 
-def language_of(text: str) -> str | None:
+
+#: What a word says of its language: function words share their weight, short answers count double.
+TELLING: dict[str, list[tuple[str, float]]] = {w: [(k, 1 / len(ks)) for k in sorted(ks)] for w, ks in LANGUAGES.items()}
+for _w, _k in SHORT.items():
+    TELLING[_w] = [*TELLING.get(_w, []), (_k, 2.0)]
+
+
+def language_of(texts: list[str]) -> str | None:
     """The language with most function words and own letters; None where nothing tells it."""
-    score: dict[str, float] = {}
+    text, score = " ".join(texts), {}
     for w in WORD.findall(text.lower()):
-        for k in LANGUAGES.get(w, ()):
-            score[k] = score.get(k, 0) + 1 / len(LANGUAGES[w])
-        if w in SHORT:
-            score[SHORT[w]] = score.get(SHORT[w], 0) + 2
-    for k, letters in LETTERS.items():
-        n = sum(text.count(c) for c in letters)
-        if n:
-            score[k] = score.get(k, 0) + min(n, 4)
+        if w in TELLING:
+            for k, weight in TELLING[w]:
+                score[k] = score.get(k, 0) + weight
+    if not text.isascii():
+        for k, letters in LETTERS.items():
+            n = sum(text.count(c) for c in letters)
+            if n:
+                score[k] = score.get(k, 0) + min(n, 4)
     return max(sorted(score), key=score.get) if score else None
 
 
+@lru_cache(maxsize=4096)
+def asked_language(question: str) -> str | None:
+    return language_of([question])
+
+
 class Clause:
-    __slots__ = ("text", "mark", "lead", "source")
+    __slots__ = ("text", "mark", "lead", "source", "words", "echo")
 
-    def __init__(self, text: str, mark: bool, lead: str, source: bool):
+    def __init__(self, text: str, mark: bool, lead: str, source: bool, question: str):
         self.text, self.mark, self.lead, self.source = text, mark, lead, source
+        self.words = WORD.findall(text.lower())
+        self.echo = 0.0 if source else echo_share(text, question, self.words)
 
 
 def clauses(answer: str | None, question: str) -> list[Clause]:
@@ -90,35 +122,45 @@ def clauses(answer: str | None, question: str) -> list[Clause]:
     mark, lead = False, ""
     for line in (answer or "").split("\n"):
         line = line.strip().lstrip("> \t").strip()
-        if not any(c.isalnum() for c in line):
+        if not SOLID.search(line):
             continue
         if SOURCES.match(line):
             rest = SOURCES.sub("", line)
-            if out or any(c.isalnum() for c in rest):
-                out.append(Clause(rest, False, "", True))
+            if out or SOLID.search(rest):
+                out.append(Clause(rest, False, "", True, question))
             continue
-        for piece in [line] if echo_share(line, question) > 0.75 else SENTENCE.split(line):
+        pieces = SENTENCE.split(line)
+        for piece in pieces if len(pieces) == 1 or echo_share(line, question) <= 0.75 else [line]:
             if MARK.match(piece):
                 mark, lead, piece = True, "", MARK.sub("", piece)
             elif (m := LEAD.match(piece)) and len((m[1] or m[2]).split()) <= 6:
                 lead, piece = m[1] or m[2], piece[m.end() :]
-            if any(c.isalnum() for c in piece):
-                out.append(Clause(piece.strip(), mark, lead, False))
+            if SOLID.search(piece):
+                out.append(Clause(piece.strip(), mark, lead, False, question))
                 mark, lead = False, ""
-    while out and out[0].source and not any(c.isalnum() for c in out[0].text):
+    while out and out[0].source and not SOLID.search(out[0].text):
         out.pop(0)
     return out
 
 
-def echo_share(clause: str, question: str) -> float:
+@lru_cache(maxsize=4096)
+def least_echo(question: str) -> int:
+    """Letters that a text must have to share over three quarters of the question's words."""
+    lengths = sorted(map(len, word_set(question)))
+    return sum(lengths[: -(-3 * len(lengths) // 4)])
+
+
+def echo_share(clause: str, question: str, words: list[str] | None = None) -> float:
     """How far the clause is the question, read as letters and digits only; repeats of the question count whole."""
-    a, q = bare(clause), bare(question)
+    a, q = SIGNS.sub("", clause.lower().replace("ı", "i")), bare(question)
     if not a or not q:
         return 0.0
     if q in a:
         return a.count(q) * len(q) / len(a)
-    said, asked = set(WORD.findall(clause.lower())), set(WORD.findall(question.lower()))
-    shared = len(said & asked) / max(1, len(said), len(asked))
+    shared = 0.0
+    if len(clause) >= least_echo(question):
+        said, asked = set(WORD.findall(clause.lower()) if words is None else words), word_set(question)
+        shared = len(said & asked) / max(1, len(said), len(asked))
     return max(len(a) / len(q) if len(a) > 12 and a in q else 0.0, shared if shared > 0.75 else 0.0)
 
 
@@ -129,34 +171,34 @@ class Record:
         self.question = question or ""
         self.clauses = clauses(answer, self.question)
         self.content = [c for c in self.clauses if not c.source]
-        self.echo = [0.0 if c.source else echo_share(c.text, self.question) for c in self.clauses]
-        own = " ".join(re.sub(r"['‘\"“][^'\n]{8,60}['’\"”]", " ", c.lead + " " + c.text) for c, e in zip(self.clauses, self.echo) if not c.source and e < 0.6)
-        asked, said = language_of(self.question), language_of(own)
+        own = [c for c in self.content if c.echo < 0.6]
+        asked, said = asked_language(self.question), language_of([QUOTED.sub(" ", c.lead + " " + c.text) for c in own])
         self.mismatch = bool(self.question) and asked is not None and said is not None and asked != said
 
     def features(self) -> list[list[int]]:
         names = []
         last = max((i for i, c in enumerate(self.clauses) if not c.source), default=-1)
         for i, c in enumerate(self.clauses):
-            words = WORD.findall(c.text.lower())
+            words = c.words
             f = ["bias", f"mark{c.mark}", f"lead{bool(c.lead)}", f"source{c.source}"]
             if c.source:
                 f += [f"whole{bool(WHOLE_SOURCE.search(c.text))}", f"end{i == len(self.clauses) - 1}"]
             else:
                 place = "only" if len(self.content) == 1 else "last" if i == last else "early"
                 ends = c.text.rstrip("*_` ")[-1:] in ".!?…\"”'»"
-                number, known = any(x.isdigit() for x in c.text), all(w in LEXICON or w in JOINING for w in words)
+                number = bool(DIGIT.search(c.text))
+                known = number and all(w in LEXICON or w in JOINING for w in words)
                 closed = ends or i < len(self.clauses) - 1
-                echo = "whole" if self.echo[i] > 0.75 else "part" if self.echo[i] > 0.4 else "none"
-                declining = f"{bool(DECLINES.search(c.text))}-{bool(TURNS.search(c.text))}"
+                echo = "whole" if c.echo > 0.75 else "part" if c.echo > 0.4 else "none"
+                declining = f"True-{bool(TURNS.search(c.text))}" if DECLINES.search(c.text) else "False"
                 f += [place, f"closed{closed}", f"number{number}", f"echo-{echo}", f"echo-{echo}-{place}", f"declining{declining}", f"declining{declining}-{place}-{c.mark}"]
-                f += [f"{place}-{closed}-{c.mark}-{bool(c.lead)}", f"{place}-mismatch{self.mismatch}-{c.mark or bool(c.lead)}", f"mismatch{self.mismatch}", f"quantity{number and known}-{closed}"]
+                f += [f"{place}-{closed}-{c.mark}-{bool(c.lead)}", f"{place}-mismatch{self.mismatch}-{c.mark or bool(c.lead)}", f"mismatch{self.mismatch}", f"quantity{known}-{closed}"]
                 f += [f"w:{w}" for w in set(words[:14])] + [f"first:{' '.join(words[:2])}"]
                 if c.lead:
                     f.append(f"lead:{c.lead.lower()}")
                 if not closed:
                     f += [f"final:{words[-1] if words else '#'}", f"cut-number{number}-{c.mark}", f"cut-words{min(4, len(words))}-{number}", f"tail:{c.text[-1:] if not c.text[-1:].isalnum() else 'a'}"]
-            names.append([crc32(x.encode()) % BUCKETS for x in f])
+            names.append([CODES.get(x) or code_of(x) for x in f])
         return names
 
 
@@ -203,7 +245,7 @@ class Crf:
             out[i] = tags[::-1]
         return out
 
-    def fit(self, sequences: list[list[list[int]]], tags: list[list[int]], steps: int = 60, rate: float = 0.15, ridge: float = 1e-4) -> Crf:
+    def fit(self, sequences: list[list[list[int]]], tags: list[list[int]], steps: int = 150, rate: float = 0.15, ridge: float = 1e-4) -> Crf:
         """Maximum likelihood with a small ridge: gradients by forward and backward sums, steps by Adam."""
         order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))  # the live ones at a place come first
         flat, bounds, n = self.batch([sequences[i] for i in order])
@@ -254,17 +296,17 @@ def weak_tags(r: Record) -> list[int] | None:
     for i, c in enumerate(r.clauses):
         if c.source and i == len(r.clauses) - 1 and not WHOLE_SOURCE.search(c.text):
             tags[i] = UNFINISHED
-        elif not c.source and r.echo[i] > 0.75:
+        elif not c.source and c.echo > 0.75:
             tags[i] = ECHO
     declining = [not c.source and bool(DECLINES.search(c.text)) and not TURNS.search(c.text) for c in r.clauses]
     end = r.clauses[last]
     if tags[last] == ECHO:
         return tags if all(t == ECHO or c.source for t, c in zip(tags, r.clauses)) else None
-    numbers = any(x.isdigit() for x in end.text)
+    numbers = bool(DIGIT.search(end.text))
     if declining[last]:
         return [REFUSAL if d else t for d, t in zip(declining, tags)]
     concluded = end.mark or (bool(end.lead) and last > 0)
-    words = WORD.findall(end.text.lower())
+    words = end.words
     closed = end.text.rstrip("*_` ")[-1:] in ".!?" or last < len(r.clauses) - 1
     if concluded and (closed or (numbers and all(w in LEXICON or w in JOINING for w in words)) or (len(words) == 1 and words[0] in SHORT | {"no": ""})):
         tags[last] = FOREIGN if r.mismatch else ANSWER
@@ -314,29 +356,6 @@ def training_set(rows: list[tuple[str | None, str | None]], seed: int = 5) -> tu
     return x, y
 
 
-def settled(record: Record, tags: list[int]) -> list[int]:
-    """The exact check after the CRF: a last clause that declines outright is a refusal, a bare quantity or a closed
-    sentence after a mark is an answer (foreign if the languages differ), a last line of sources without its end is
-    unfinished."""
-    tags = list(tags)
-    last = max((i for i, c in enumerate(record.clauses) if not c.source), default=-1)
-    if last >= 0:
-        c, words = record.clauses[last], WORD.findall(record.clauses[last].text.lower().replace("d'", " "))
-        quantity = any(x.isdigit() for x in c.text) and all(w in LEXICON or w in JOINING for w in words)
-        closed = c.text.rstrip("*_` ")[-1:] in ".!?" or last < len(record.clauses) - 1
-        if DECLINES.search(c.text) and not TURNS.search(c.text) and tags[last] != ECHO:
-            tags[last] = REFUSAL
-        elif record.echo[last] > 0.75:
-            tags[last] = ECHO
-        elif (c.mark or c.lead or len(record.content) == 1 and quantity) and (quantity or closed or (len(words) == 1 and words[0] in (*SHORT, "no"))):
-            tags[last] = ANSWER
-        if tags[last] in (ANSWER, FOREIGN):
-            tags[last] = FOREIGN if record.mismatch else ANSWER
-    if tags and record.clauses[-1].source:
-        tags[-1] = OTHER if WHOLE_SOURCE.search(record.clauses[-1].text) else UNFINISHED
-    return tags
-
-
 def defect(record: Record, tags: list[int]) -> tuple[str | None, list[float]]:
     """The kind of defect and the share of characters under each tag, sources left out."""
     size = np.zeros(len(TAGS))
@@ -357,24 +376,33 @@ def defect(record: Record, tags: list[int]) -> tuple[str | None, list[float]]:
     return "kesik", share
 
 
-def tagged(answers: DataFrame, questions: DataFrame, sample_rows: int = 4000) -> DataFrame:
-    """(kayit_no, kusur, and the share of each tag) of every answer. ``sample_rows`` bounds the answers that the CRF
-    is trained on, chosen by a hash of the text; its weights (BUCKETS by tags) are broadcast."""
-    spark = answers.sparkSession
-    asked = questions.where("financebench_id IS NOT NULL").groupBy(F.col("financebench_id").alias("id")).agg(F.min("question").alias("question"))
-    joined = answers.select(F.col("kayit_no").cast("bigint").alias("kayit_no"), "id", "yanit").join(asked, "id", "left").select("kayit_no", "yanit", "question")
-    keep = max(1, answers.count() // sample_rows)
-    sample = joined.where(F.pmod(F.xxhash64("yanit", "question"), F.lit(keep)) == 0).select("yanit", "question").limit(2 * sample_rows).toPandas()
+def first_questions(questions: DataFrame) -> DataFrame:
+    """(id, question): one question for each id."""
+    return questions.where("financebench_id IS NOT NULL").groupBy(F.col("financebench_id").alias("id")).agg(F.min("question").alias("question"))
+
+
+def trained(answers: DataFrame, questions: DataFrame, sample_rows: int) -> Crf:
+    """The CRF, fitted to between ``sample_rows`` and twice as many answers, chosen by a hash of the text."""
+    joined = answers.select("id", "yanit").join(first_questions(questions), "id", "left").select("yanit", "question")
+    keep, key = max(1, answers.count() // sample_rows), F.xxhash64("yanit", "question")
+    sample = joined.where(F.pmod(key, F.lit(keep)) == 0).orderBy(key, "yanit", "question").limit(2 * sample_rows).toPandas()
     sample = sample.sort_values(["question", "yanit"], ignore_index=True, na_position="first")
     x, y = training_set([(a, q) for a, q in zip(sample["yanit"], sample["question"])])
-    model = spark.sparkContext.broadcast(Crf().fit(x, y) if x else Crf())
+    return Crf().fit(x, y) if x else Crf()
+
+
+def tagged(answers: DataFrame, questions: DataFrame, sample_rows: int = 4000, model: Crf | None = None) -> DataFrame:
+    """(kayit_no, kusur, and the share of each tag) of every answer. ``sample_rows`` bounds the answers that the CRF is trained on
+    where no ``model`` is given; its weights (BUCKETS by tags) are broadcast."""
+    shared = answers.sparkSession.sparkContext.broadcast(model or trained(answers, questions, sample_rows))
+    joined = answers.select(F.col("kayit_no").cast("bigint").alias("kayit_no"), "id", "yanit").join(first_questions(questions), "id", "left").select("kayit_no", "yanit", "question")
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
                 part = batch.slice(begin, 1000)
                 records = [Record(a, q) for a, q in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                found = [defect(r, settled(r, t)) for r, t in zip(records, model.value.best([r.features() for r in records]))]
+                found = [defect(r, t) for r, t in zip(records, shared.value.best([r.features() for r in records]))]
                 shares = [pa.array([s[i] for _, s in found], pa.float64()) for i in range(len(TAGS))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([k for k, _ in found], pa.string()), *shares], names=["kayit_no", "kusur", *TAGS])
 
