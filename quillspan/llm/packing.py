@@ -8,7 +8,10 @@ beforehand, and the deficits with which a shard begins are the sums over the sha
 
 A text longer than a container is cut into full containers and a rest, which is packed as an item. Windows that end
 up less full than ``close_at`` are opened again and their items are packed together in a second round, so that the loss is
-a few containers per ITEMS_PER_SHARD left-over items and not per shard.
+a few containers per ITEMS_PER_SHARD left-over items and not per shard. The second round begins with the deficits of the first.
+
+With many sources and few texts in a window no single window can hold all of them; the proportions hold over runs of windows
+(``mixture``), as each window goes on where the one before it stopped.
 
 Defined results: texts without tokens (null, empty) take no room and lie at the start of the first window of their
 shard; a null source is a source; repeated texts are texts; an empty table gives no rows.
@@ -80,18 +83,35 @@ def packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return pack
 
 
-def pack_round(items: DataFrame, shards: int, capacity: int) -> DataFrame:
-    """One round: items carry ``share``, the target of their source; the deficits of earlier shards are carried along."""
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
-    by_source = items.groupBy("shard", "source").agg(F.sum("n_tokens").alias("t"), F.first("share").alias("share"))
-    # What a source had in earlier shards beyond its share of what those shards packed.
+#: Shards that share one prefix sum.
+SHARDS_PER_BLOCK = 1024
+
+
+def carried(items: DataFrame, base: DataFrame | None) -> DataFrame:
+    """(shard, source, used): what each source has had beyond its share when a shard begins, from the shards before it and from
+    ``base`` (source, t), the tokens packed in earlier rounds. Tokens are summed by shard first; sums over shards are built
+    within blocks of shards and over the blocks, so that no task orders them all."""
+    by_source = items.groupBy("shard", "source").agg(F.sum("n_tokens").alias("t"), F.first("share").alias("share")).withColumn("block", F.floor(F.col("shard") / SHARDS_PER_BLOCK))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    all_before = items.groupBy("shard").agg(F.sum("n_tokens").alias("all"))
-    all_before = all_before.select("shard", F.coalesce(F.sum("all").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("all"))
-    carried = by_source.join(F.broadcast(all_before), "shard")  # a row for each shard
-    carried = carried.select("shard", "source", (F.coalesce(F.sum("t").over(before), F.lit(0)) - F.col("share") * F.col("all")).alias("used"))
+    inside = Window.partitionBy("block").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    all_of = by_source.groupBy("block", "shard").agg(F.sum("t").alias("all"))
+    blocks = all_of.groupBy("block").agg(F.sum("all").alias("all")).agg(F.collect_list(F.struct("block", "all")).alias("blocks"))  # one entry for SHARDS_PER_BLOCK shards
+    earlier = F.aggregate(F.filter("blocks", lambda b: b["block"] < F.col("block")), F.lit(0).cast("bigint"), lambda x, b: x + b["all"])
+    all_of = all_of.crossJoin(blocks).select("shard", (F.coalesce(F.sum("all").over(inside), F.lit(0)) + earlier).alias("all"))
+    known = by_source.join(all_of, "shard")
+    if base is None:
+        return known.select("shard", "source", (F.coalesce(F.sum("t").over(before), F.lit(0)) - F.col("share") * F.col("all")).alias("used"))
+    whole = base.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("whole"))
+    known = known.join(base.select("source", F.col("t").alias("had")), "source", "left").crossJoin(whole)
+    had = F.coalesce("had", F.lit(0)) + F.coalesce(F.sum("t").over(before), F.lit(0))
+    return known.select("shard", "source", (had - F.col("share") * (F.col("all") + F.col("whole"))).alias("used"))
+
+
+def pack_round(items: DataFrame, shards: int, capacity: int, base: DataFrame | None = None) -> DataFrame:
+    """One round: items carry ``share``, the target of their source; the deficits of earlier shards and rounds are carried along."""
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     kinds = "doc_id string, source string, piece int, n_tokens bigint, share double, shard bigint, window int, at bigint, filled bigint"
-    return items.join(carried, ["shard", "source"]).groupBy("shard").applyInPandas(packer(capacity), kinds)
+    return items.join(carried(items, base), ["shard", "source"]).groupBy("shard").applyInPandas(packer(capacity), kinds)
 
 
 def pack(documents: DataFrame, capacity: int = 4096, targets: DataFrame | None = None, close_at: float = 0.97, vocabulary: str | None = None) -> DataFrame:
@@ -100,6 +120,11 @@ def pack(documents: DataFrame, capacity: int = 4096, targets: DataFrame | None =
     ``targets`` (source, share) are the token proportions to keep to while a source lasts; by default those of the
     corpus. A source that ``targets`` lacks has the least share given.
     """
+    return packed(documents, capacity, targets, close_at, vocabulary).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "piece", "n_tokens", F.concat_ws("-", "round", "shard", "window").alias("container"), "at")
+
+
+def packed(documents: DataFrame, capacity: int, targets: DataFrame | None, close_at: float, vocabulary: str | None) -> DataFrame:
+    """The same with round, shard, window and the source's share."""
     # Ids travel as text, so that pandas keeps nulls and large numbers apart.
     plain = documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), "text")
     sizes = written(bytebpe.encode_corpus(plain, "doc_id", "text", vocabulary, counts_only=True, keep=("source",)), "sizes")
@@ -115,8 +140,18 @@ def pack(documents: DataFrame, capacity: int = 4096, targets: DataFrame | None =
     items = items.select("doc_id", "source", "piece", F.least(F.lit(capacity).cast("bigint"), F.col("n") - F.col("piece") * capacity).alias("n_tokens"))
     items = items.join(share, "source", "left").select("doc_id", "source", "piece", "n_tokens", F.coalesce("share", F.lit(least)).alias("share"))
     first = written(pack_round(items, max(LEAST_SHARDS, -(-texts // ITEMS_PER_SHARD)), capacity), "packed")
-    open_ = first.where(F.col("filled") < int(close_at * capacity))
-    again = open_.select("doc_id", "source", "piece", "n_tokens", "share")
-    second = pack_round(again, max(1, -(-again.count() // ITEMS_PER_SHARD)), capacity)
-    closed = first.where(F.col("filled") >= int(close_at * capacity)).withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
-    return closed.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "piece", "n_tokens", F.concat_ws("-", "round", "shard", "window").alias("container"), "at")
+    closed = first.where(F.col("filled") >= int(close_at * capacity))
+    again = first.where(F.col("filled") < int(close_at * capacity)).select("doc_id", "source", "piece", "n_tokens", "share")
+    second = pack_round(again, max(1, -(-again.count() // ITEMS_PER_SHARD)), capacity, closed.groupBy("source").agg(F.sum("n_tokens").alias("t")))
+    return closed.withColumn("round", F.lit(1)).unionByName(second.withColumn("round", F.lit(2)))
+
+
+def mixture(placed: DataFrame, run: int) -> DataFrame:
+    """(round, shard, run, tokens, distance) of every ``run`` windows in a row of a packing: the total variation between the
+    tokens of each source in it and the sources' shares (summing to 1 over the sources that the packing has)."""
+    at = placed.withColumn("run", F.floor(F.col("window") / run)).groupBy("round", "shard", "run", "source").agg(F.sum("n_tokens").alias("t"), F.first("share").alias("share"))
+    tokens = F.sum("t").alias("tokens")
+    # A source that a run lacks counts with its whole share: half the sum over those it has, and half of what is left.
+    runs = at.withColumn("all", F.sum("t").over(Window.partitionBy("round", "shard", "run"))).where("all > 0").groupBy("round", "shard", "run")
+    off = F.sum(F.abs(F.col("t") / F.col("all") - F.col("share"))) + F.greatest(F.lit(0.0), 1 - F.sum("share"))
+    return runs.agg(tokens, (off / 2).alias("distance"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspan.llm import bytebpe, defects, leakage, packing, quality, splits, topgroups
+from quillspan.session import written
 from quillspan.sources.tables import table
 
 
@@ -79,6 +82,14 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents", "doc_id", "source", "text"))
 
 
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """How far runs of 1 to 64 windows are from the sources' shares, by round: the mean total variation, weighed by tokens."""
+    placed = packing.packed(table(spark, d, "documents", "doc_id", "source", "text"), 4096, None, 0.97, None)
+    placed = written(placed.select("round", "shard", "window", "source", "n_tokens", "share"), "placed")
+    parts = [packing.mixture(placed, n).groupBy("round").agg(F.count(F.lit(1)).alias("runs"), (F.sum(F.col("distance") * F.col("tokens")) / F.sum("tokens")).alias("distance")).withColumn("windows", F.lit(n)) for n in (1, 4, 16, 64)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.not_prose(table(spark, d, "documents", "doc_id", "text")).select("doc_id", "tur")
 
@@ -88,7 +99,7 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_coverage, p4_found, p4_parts, p5_found, p5_rapor, p6_ids, p7_containers, p8_found, p8_statistics)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_coverage, p4_found, p4_parts, p5_found, p5_rapor, p6_ids, p7_containers, p7_mixture, p8_found, p8_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
