@@ -11,8 +11,9 @@
 4. Alignment. Smith-Waterman over words scores each pair in numpy, many pairs at a time, so edited copies are scored
    too; alongside runs the length of the exact run that ends at each pair of words, which decides ``gecer``.
 
-The items are a fixed benchmark (150 rows in this project): ``MOST_ITEM_WORDS`` bounds what is broadcast, and a larger
-set is worked in blocks of items, each against the whole corpus.
+The items are a benchmark (150 rows in this project) and are numbered on the driver, four bytes a word. What an item's own runs and
+rare n-grams are is found over all items; ``BLOCK_WORDS`` bounds what is broadcast, and a larger set is worked in blocks of
+items, each against the whole corpus, with the same result.
 
 Defined results: null or empty texts and items take part in nothing; repeated training rows give each pair once; an
 item without a run that is its own cannot leak; empty tables give no rows.
@@ -20,7 +21,9 @@ item without a run that is its own cannot leak; empty tables give no rows.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -33,8 +36,8 @@ from quillspan.session import written
 #: Bytes of words, and of the mark that parts texts; all other bytes, also those of wider characters, become blanks.
 KEPT = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789A" else 32 for b in range(256))
 BORDER, SLICE_CHARS = " A ", 2_000_000
-MOST_ITEM_WORDS = 1_000_000
-MATCH, OTHER, GAP, CELL = 2, -1, -1, 8192
+BLOCK_WORDS = 1_000_000
+MATCH, OTHER, GAP = 2, -1, -1
 #: Words of a short seed, and how far the diagonals of two neighbouring short hits may lie apart.
 SHORT, SLIP = 5, 8
 
@@ -61,21 +64,35 @@ def runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def shared_suffix(items: list[np.ndarray]) -> list[np.ndarray]:
-    """For each item and each position, how many words up to and including it also stand in another item in a row."""
-    ends = sorted((tuple(w[e::-1].tolist()), k, e) for k, w in enumerate(items) for e in range(len(w)))
-    longest = [np.zeros(len(w), np.int64) for w in items]
-
-    def common(a: tuple, b: tuple) -> int:
-        n = min(len(a), len(b))
-        return next((i for i in range(n) if a[i] != b[i]), n)
-
-    for order in (ends, ends[::-1]):
+    """For each item and each position, how many words up to and including it also stand in another item in a row. Positions are
+    ordered by the words that lead up to them (ranks of runs of 1, 2, 4 ... words); the nearest of another item share most."""
+    if not items:
+        return []
+    size = np.array([len(w) for w in items])
+    item, place = np.repeat(np.arange(len(items)), size), np.concatenate([np.arange(n) for n in size])
+    ranks, width = [np.unique(np.concatenate(items), return_inverse=True)[1].astype(np.int64)], 1
+    while width < size.max():
+        earlier = np.where(place >= width, ranks[-1][np.maximum(np.arange(len(item)) - width, 0)] + 1, 0)
+        ranks.append(np.unique(ranks[-1] * (len(item) + 1) + earlier, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b, common = order[:-1].copy(), order[1:].copy(), np.zeros(len(order) - 1, np.int64)
+    live = np.ones(len(common), bool)
+    for k in range(len(ranks) - 1, -1, -1):
+        same = live & (ranks[k][a] == ranks[k][b])
+        left = place[a] + 1
+        common += np.where(same, np.minimum(left, 1 << k), 0)
+        live &= ~(same & (left <= 1 << k))  # both have come to the beginning of their items
+        a, b = np.where(same & live, a - (1 << k), a), np.where(same & live, b - (1 << k), b)
+    longest, who = [0] * len(order), item[order].tolist()
+    for steps, at, before in ((common.tolist(), range(1, len(order)), -1), (common.tolist()[::-1], range(len(order) - 2, -1, -1), 1)):
         best = 0
-        for before, now in zip(order, order[1:]):
-            c = common(before[0], now[0])
-            best = c if before[1] != now[1] else min(c, best)
-            longest[now[1]][now[2]] = max(longest[now[1]][now[2]], best)
-    return longest
+        for c, i in zip(steps, at):
+            best = c if who[i + before] != who[i] else min(c, best)
+            longest[i] = max(longest[i], best)
+    found = np.empty(len(order), np.int64)
+    found[order] = longest
+    return np.split(found, np.cumsum(size)[:-1])
 
 
 def grams(ids: np.ndarray, n: int, mix: np.ndarray) -> np.ndarray:
@@ -96,11 +113,11 @@ def grams(ids: np.ndarray, n: int, mix: np.ndarray) -> np.ndarray:
 
 
 class Benchmark:
-    """The held-out items in numbers: words, shortest own runs and seeds."""
+    """The held-out items in numbers: words, shortest own runs and seeds, in blocks of items of about ``BLOCK_WORDS``."""
 
     def __init__(self, rows: list[tuple[str, str | None]], least: int, n: int, short: int | None = None):
         split = {k: w for k, t in rows if k is not None and len(w := words_of(t)) >= least}
-        self.n, self.least, self.names = n, least, sorted(split)
+        self.n, self.least, self.short, self.names = n, least, short, sorted(split)
         self.number = {w: i + 1 for i, w in enumerate(sorted({w for x in split.values() for w in x}))}
         self.mix = np.random.default_rng(7).integers(1, 2**63, len(self.number) + 2, dtype=np.uint64) | np.uint64(1)
         self.items = [np.array([self.number[w] for w in split[k]], np.int32) for k in self.names]
@@ -108,7 +125,7 @@ class Benchmark:
         #: The least length of a run that ends at a position and is no other item's.
         self.own = [np.maximum(least, s + 1) for s in shared_suffix(self.items)]
         hashed = [grams(w, n, self.mix) for w in self.items]
-        met, in_items = np.unique(np.concatenate([np.unique(h) for h in hashed] or [np.empty(0, np.uint64)]), return_counts=True)
+        met, in_items = counted(hashed)
         self.seeds: list[tuple[int, str, int]] = []
         for name, h, own in zip(self.names, hashed, self.own):
             rarity = in_items[np.searchsorted(met, h)]
@@ -118,8 +135,8 @@ class Benchmark:
             chosen = {a + int(np.argmin(rank[a : e - n + 2])) for e in range(least - 1, len(own)) if (a := e - int(own[e]) + 1) >= 0}
             self.seeds += [(int(h[i].astype(np.int64)), name, i) for i in sorted(chosen)]
         #: Short seeds, sorted by hash: the hash, the item and the place in it of every n-gram that only one item has.
-        self.short, few = short, [grams(w, short, self.mix) for w in self.items] if short else []
-        met, in_items = np.unique(np.concatenate([np.unique(h) for h in few] or [np.empty(0, np.uint64)]), return_counts=True)
+        few = [grams(w, short, self.mix) for w in self.items] if short else []
+        met, in_items = counted(few)
         gram = np.concatenate(few or [np.empty(0, np.uint64)])
         item = np.repeat(np.arange(len(few)), [len(h) for h in few])
         place = np.concatenate([np.arange(len(h)) for h in few] or [np.empty(0, np.int64)])
@@ -127,6 +144,26 @@ class Benchmark:
         own = own[np.argsort(gram[own], kind="stable")]
         self.few = gram[own], item[own], place[own]
 
+    def blocks(self, words: int) -> Iterator[Benchmark]:
+        """The benchmark cut into blocks of items of at least ``words`` words; runs and seeds stay those of the whole."""
+        ends = np.cumsum([len(w) for w in self.items]) // max(1, words)
+        for block in np.unique(ends) if len(self.items) else [0]:
+            which = np.flatnonzero(ends == block)
+            part = copy.copy(self)
+            part.names, part.items, part.own = ([x[i] for i in which] for x in (self.names, self.items, self.own))
+            kept, named = {int(w) for x in part.items for w in np.unique(x)}, set(part.names)
+            part.number = {w: i for w, i in self.number.items() if i in kept}
+            part.longest = max(map(len, part.items), default=0)
+            part.seeds = [s for s in self.seeds if s[1] in named]
+            mine = np.isin(self.few[1], which)
+            part.few = self.few[0][mine], np.searchsorted(which, self.few[1][mine]), self.few[2][mine]
+            yield part
+
+
+def counted(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All n-grams, and in how many items each stands."""
+    return np.unique(np.concatenate([np.unique(h) for h in hashes] or [np.empty(0, np.uint64)]), return_counts=True)
+
 
 def near(at: np.ndarray, text: np.ndarray, h: np.ndarray, few: tuple[np.ndarray, np.ndarray, np.ndarray], short: int) -> np.ndarray:
     """Those of the places ``at`` (their text, and their hash among ``few``) that lie with others of the same text and
@@ -194,16 +231,18 @@ def align(words: list[np.ndarray], items: list[np.ndarray], own: list[np.ndarray
     """Best local alignment of each pair: its score, the words matched in it, the longest exact run, and whether a
     run is the item's own. A cell holds score * CELL + words matched, so one maximum settles both."""
     m, n = max(map(len, words)), max(map(len, items))
+    # The words matched must not run into the score.
+    kind, CELL = (np.int32, 8192) if max(m, n) < 8192 else (np.int64, 1 << 31)
     a, b, need = np.full((len(words), m), -1, np.int32), np.full((len(words), n), -2, np.int32), np.full((len(words), n), n + m, np.int32)
     for k, (w, i, o) in enumerate(zip(words, items, own)):
         a[k, : len(w)], b[k, : len(i)], need[k, : len(i)] = w, i, o
-    cell, run, best, longest = (np.zeros((len(words), m + 1), np.int32) for _ in range(4))
+    cell, run, best, longest = (np.zeros((len(words), m + 1), kind) for _ in range(4))
     passes = np.zeros((len(words), m + 1), bool)
-    slope = -GAP * CELL * np.arange(m + 1, dtype=np.int32)
+    slope = -GAP * CELL * np.arange(m + 1, dtype=kind)
     for i in range(n):
         same = a == b[:, i : i + 1]
         now = np.zeros_like(cell)
-        np.maximum(cell[:, :-1] + np.where(same, MATCH * CELL + 1, OTHER * CELL), cell[:, 1:] + GAP * CELL, out=now[:, 1:])
+        np.maximum(cell[:, :-1] + np.where(same, kind(MATCH * CELL + 1), kind(OTHER * CELL)), cell[:, 1:] + GAP * CELL, out=now[:, 1:])
         now[now < CELL] = 0
         # A gap along the text: the best earlier cell of this row, less a cost for each word in between.
         now += slope
@@ -218,18 +257,21 @@ def align(words: list[np.ndarray], items: list[np.ndarray], own: list[np.ndarray
     return pd.DataFrame({"puan": top // CELL, "ortak": top % CELL, "en_uzun": longest.max(axis=1).astype(np.int64), "gecer": passes.any(axis=1)})
 
 
-def leaks(items: DataFrame, texts: DataFrame, least: int = 25, n: int = 12, short: int | None = SHORT) -> DataFrame:
+def leaks(items: DataFrame, texts: DataFrame, least: int = 25, n: int = 12, short: int | None = SHORT, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(fb_soru, egitim_id, puan, ortak, en_uzun, kapsama, gecer): every pair of an item and a training text that
     share a seed, or two short ones apart near one diagonal (none are looked for where ``short`` is None; exact runs do not
     need them). ``puan`` is the alignment's score, ``ortak`` the words it matches, ``kapsama`` their share of the
     item, ``en_uzun`` the longest exact run, ``gecer`` whether a run of ``least`` words or more is the item's own."""
+    whole = Benchmark([(r[0], r[1]) for r in items.select("fb_soru", "metin").distinct().collect()], least, n, short)
+    return reduce(DataFrame.unionByName, [leaks_of(b, texts) for b in whole.blocks(block_words)])
+
+
+def leaks_of(b: Benchmark, texts: DataFrame) -> DataFrame:
+    """The leaks of one block of items."""
     spark: SparkSession = texts.sparkSession
-    b = Benchmark([(r[0], r[1]) for r in items.select("fb_soru", "metin").distinct().collect()], least, n, short)
-    if sum(map(len, b.items)) > MOST_ITEM_WORDS:
-        raise ValueError("more held-out text than one pass takes: call leaks() for blocks of items whose union is the set")
     found = written(scan(texts, b).withColumn("body", F.xxhash64("words")), "regions")
     few = [(int(h), b.names[k], int(i)) for h, k, i in zip(b.few[0].astype(np.int64), b.few[1], b.few[2])]
-    seeds = F.broadcast(spark.createDataFrame(b.seeds + few, "seed long, fb_soru string, item_at int"))  # within MOST_ITEM_WORDS rows
+    seeds = F.broadcast(spark.createDataFrame(b.seeds + few, "seed long, fb_soru string, item_at int"))  # about two rows for a word of the block
     hits = found.select("egitim_id", "region", "body", F.explode("hits").alias("hit")).select("egitim_id", "region", "body", "hit.*").join(seeds, "seed")
     diagonal = F.col("at") - F.col("item_at")
     pairs = hits.groupBy("egitim_id", "region", "body", "fb_soru").agg(F.min(diagonal).alias("low"), F.max(diagonal).alias("high"))

@@ -52,6 +52,44 @@ def test_leaks_against_brute_force(spark):
     got = sorted(map(tuple, leakage.found(leaked, 12).collect()))
     want = sorted((i, t) for t, body in texts.items() for i, w in items.items() if passes(w, [o for k, o in items.items() if k != i], body, 12))
     assert got == want and len(want) > 20
+    blocks = leakage.leaks(held, spark.createDataFrame(rows, "egitim_id string, text string"), least=12, n=6, block_words=300)
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, leaked.collect()))
+
+
+def test_shared_runs_against_brute_force():
+    rng = np.random.default_rng(5)
+    items = [rng.integers(0, 3, rng.integers(1, 30)).astype(np.int32) for _ in range(25)]
+    items += [items[0], np.concatenate([items[1], items[2]])]
+    got = leakage.shared_suffix(items)
+    for k, w in enumerate(items):
+        for e in range(len(w)):
+            others = [" " + " ".join(map(str, o)) + " " for j, o in enumerate(items) if j != k]
+            n = next((n for n in range(e + 1, 0, -1) if any(" " + " ".join(map(str, w[e - n + 1 : e + 1])) + " " in o for o in others)), 0)
+            assert got[k][e] == n
+    assert leakage.shared_suffix([]) == []
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies of all items with a share of their words changed, dropped or doubled, and short quotations."""
+    held = spark.read.parquet("/root/testdata/sf0.1/kilitli_kanit.parquet").select("fb_soru", "metin")
+    rng, rows = random.Random(9), []
+    for fb, text in held.collect():
+        w = words(text)
+        for edits in (5, 10, 15, 20, 30):
+            copy = [x for y in w for x in ([y] if rng.random() >= edits / 100 else [["edited"], [], [y, y]][rng.randint(0, 2)])]
+            rows.append((f"{fb}|{edits}", " ".join(["zz"] * 20 + copy + ["zz"] * 20)))
+        for n in (12, 18, 24):
+            at = rng.randint(0, len(w) - n)
+            rows.append((f"{fb}|quote{n}", " ".join(["zz"] * 20 + w[at : at + n] + ["zz"] * 20)))
+    corpus = spark.createDataFrame(rows, "egitim_id string, text string")
+    found = {(r["fb_soru"], r["egitim_id"]) for r in leakage.leaks(held, corpus).collect()}
+    asked = {}
+    for t, _ in rows:
+        fb, kind = t.split("|")
+        asked.setdefault(kind, []).append((fb, t) in found)
+    recall = {k: sum(v) / len(v) for k, v in asked.items()}
+    print(recall)
+    assert all(recall[str(k)] >= 0.99 for k in (5, 10, 15)) and recall["20"] >= 0.95 and recall["30"] >= 0.9 and recall["quote24"] >= 0.9
 
 
 def test_copies_edited_every_few_words_are_reported(spark):
