@@ -216,7 +216,8 @@ class KindModel:
         self.assembler = VectorAssembler(inputCols=SEEN, outputCol="features")
         labelled = weak_labels(stats)
         keep = max(1, labelled.count() // sample_rows)
-        sample = labelled.where(F.pmod(F.xxhash64(*STATISTICS), F.lit(keep)) == 0).select("kind", *STATISTICS).limit(2 * sample_rows).toPandas()
+        key = F.xxhash64(*STATISTICS)
+        sample = labelled.where(F.pmod(key, F.lit(keep)) == 0).orderBy(key).select("kind", *STATISTICS).limit(2 * sample_rows).toPandas()
         sample = sample.sort_values([*STATISTICS, "kind"], ignore_index=True)
         holdout = pd.DataFrame(Statistics()([t for _, t in HOLDOUT]), columns=STATISTICS).assign(kind=[k for k, _ in HOLDOUT])
         rows = spark.createDataFrame(pd.concat([sample.assign(held=False), holdout.assign(held=True)], ignore_index=True)).coalesce(1)
