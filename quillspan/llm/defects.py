@@ -59,15 +59,33 @@ LANGUAGES = {w: {k for k in LANGUAGE_WORDS if w in LANGUAGE_WORDS[k].split()} fo
 
 
 SIGNS, SOLID, DIGIT, QUOTED = re.compile(r"[\W_]+"), re.compile(r"[^\W_]"), re.compile(r"\d"), re.compile(r"['‘\"“][^'\n]{8,60}['’\"”]")
-#: Numbers of features by name; bounded, as names hold words.
-CODES: dict[str, int] = {}
+#: Numbers of words as features; bounded, as texts hold ever new ones.
+WORD_CODES: dict[str, int] = {}
 MOST_CODES = 300_000
 
 
 def code_of(feature: str) -> int:
-    if len(CODES) > MOST_CODES:
-        CODES.clear()
-    return CODES.setdefault(feature, crc32(feature.encode()) % BUCKETS)
+    return crc32(feature.encode()) % BUCKETS
+
+
+def word_code(word: str) -> int:
+    if len(WORD_CODES) > MOST_CODES:
+        WORD_CODES.clear()
+    return WORD_CODES.setdefault(word, code_of(f"w:{word}"))
+
+
+@lru_cache(maxsize=None)  # some hundreds of shapes
+def shape(mark: bool, lead: bool, source: bool, *rest: bool | str) -> list[int]:
+    """Features of what a clause looks like, apart from its words."""
+    f = ["bias", f"mark{mark}", f"lead{lead}", f"source{source}"]
+    if source:
+        whole, end = rest
+        f += [f"whole{whole}", f"end{end}"]
+    else:
+        place, closed, number, known, echo, declining, mismatch = rest
+        f += [place, f"closed{closed}", f"number{number}", f"echo-{echo}", f"echo-{echo}-{place}", f"declining{declining}", f"declining{declining}-{place}-{mark}"]
+        f += [f"{place}-{closed}-{mark}-{lead}", f"{place}-mismatch{mismatch}-{mark or lead}", f"mismatch{mismatch}", f"quantity{known}-{closed}"]
+    return [code_of(x) for x in f]
 
 
 @lru_cache(maxsize=4096)  # a question comes with many answers and is met in each of their clauses
@@ -180,25 +198,23 @@ class Record:
         last = max((i for i, c in enumerate(self.clauses) if not c.source), default=-1)
         for i, c in enumerate(self.clauses):
             words = c.words
-            f = ["bias", f"mark{c.mark}", f"lead{bool(c.lead)}", f"source{c.source}"]
             if c.source:
-                f += [f"whole{bool(WHOLE_SOURCE.search(c.text))}", f"end{i == len(self.clauses) - 1}"]
-            else:
-                place = "only" if len(self.content) == 1 else "last" if i == last else "early"
-                ends = c.text.rstrip("*_` ")[-1:] in ".!?…\"”'»"
-                number = bool(DIGIT.search(c.text))
-                known = number and all(w in LEXICON or w in JOINING for w in words)
-                closed = ends or i < len(self.clauses) - 1
-                echo = "whole" if c.echo > 0.75 else "part" if c.echo > 0.4 else "none"
-                declining = f"True-{bool(TURNS.search(c.text))}" if DECLINES.search(c.text) else "False"
-                f += [place, f"closed{closed}", f"number{number}", f"echo-{echo}", f"echo-{echo}-{place}", f"declining{declining}", f"declining{declining}-{place}-{c.mark}"]
-                f += [f"{place}-{closed}-{c.mark}-{bool(c.lead)}", f"{place}-mismatch{self.mismatch}-{c.mark or bool(c.lead)}", f"mismatch{self.mismatch}", f"quantity{known}-{closed}"]
-                f += [f"w:{w}" for w in set(words[:14])] + [f"first:{' '.join(words[:2])}"]
-                if c.lead:
-                    f.append(f"lead:{c.lead.lower()}")
-                if not closed:
-                    f += [f"final:{words[-1] if words else '#'}", f"cut-number{number}-{c.mark}", f"cut-words{min(4, len(words))}-{number}", f"tail:{c.text[-1:] if not c.text[-1:].isalnum() else 'a'}"]
-            names.append([CODES.get(x) or code_of(x) for x in f])
+                names.append(shape(c.mark, bool(c.lead), True, bool(WHOLE_SOURCE.search(c.text)), i == len(self.clauses) - 1))
+                continue
+            place = "only" if len(self.content) == 1 else "last" if i == last else "early"
+            closed = c.text.rstrip("*_` ")[-1:] in ".!?…\"”'»" or i < len(self.clauses) - 1
+            number = bool(DIGIT.search(c.text))
+            known = number and all(w in LEXICON or w in JOINING for w in words)
+            echo = "whole" if c.echo > 0.75 else "part" if c.echo > 0.4 else "none"
+            declining = f"True-{bool(TURNS.search(c.text))}" if DECLINES.search(c.text) else "False"
+            f = [*shape(c.mark, bool(c.lead), False, place, closed, number, known, echo, declining, self.mismatch), code_of(f"first:{' '.join(words[:2])}")]
+            f += [WORD_CODES.get(w) or word_code(w) for w in set(words[:14])]
+            if c.lead:
+                f.append(code_of(f"lead:{c.lead.lower()}"))
+            if not closed:
+                tail = (f"final:{words[-1] if words else '#'}", f"cut-number{number}-{c.mark}", f"cut-words{min(4, len(words))}-{number}", f"tail:{c.text[-1:] if not c.text[-1:].isalnum() else 'a'}")
+                f += map(code_of, tail)
+            names.append(f)
         return names
 
 
@@ -383,9 +399,9 @@ def first_questions(questions: DataFrame) -> DataFrame:
 
 def trained(answers: DataFrame, questions: DataFrame, sample_rows: int) -> Crf:
     """The CRF, fitted to between ``sample_rows`` and twice as many answers, chosen by a hash of the text."""
-    joined = answers.select("id", "yanit").join(first_questions(questions), "id", "left").select("yanit", "question")
-    keep, key = max(1, answers.count() // sample_rows), F.xxhash64("yanit", "question")
-    sample = joined.where(F.pmod(key, F.lit(keep)) == 0).orderBy(key, "yanit", "question").limit(2 * sample_rows).toPandas()
+    keep, key = max(1, answers.count() // sample_rows), F.xxhash64("id", "yanit")
+    sample = answers.select("id", "yanit").where(F.pmod(key, F.lit(keep)) == 0).orderBy(key, "id", "yanit").limit(2 * sample_rows)
+    sample = sample.join(first_questions(questions), "id", "left").select("yanit", "question").toPandas()
     sample = sample.sort_values(["question", "yanit"], ignore_index=True, na_position="first")
     x, y = training_set([(a, q) for a, q in zip(sample["yanit"], sample["question"])])
     return Crf().fit(x, y) if x else Crf()

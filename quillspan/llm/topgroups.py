@@ -24,7 +24,7 @@ from quillspan.session import written
 
 
 #: Filled groups that are broadcast to the readers of a band, at most.
-SENT_GROUPS = 300_000
+SENT_GROUPS = 100_000
 
 
 def band_cuts(scores: DataFrame, score: str, shares: tuple[float, ...]) -> list[float]:
