@@ -1,53 +1,77 @@
-"""Exact vector search of a stated query set against all vectors, in blocks of queries."""
+"""Exact vector search of a stated query set against all vectors, in blocks."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.operators.ranking import ranked
 
-#: Queries of one block; a block's vectors are what a task holds beside its own rows.
-BLOCK = 1024
+#: Queries of one block, and rows of one piece of the corpus: what a task holds at a time.
+BLOCK, PIECE = 1024, 65_536
+FOUND = "query bigint, vec_id bigint, score double"
 
 
-def search(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None, block: int = BLOCK) -> DataFrame:
-    """(query, vec_id, score, rank) by dot product. ``queries`` are (query, embedding[, same]) and ``corpus`` (vec_id,
-    embedding[, same]); with ``same`` only vectors with the query's value there count, filtered before the top k.
+def normalised(vector: Column) -> Column:
+    """The vector over its length, in doubles; null for null and for a vector without length."""
+    doubles = vector.cast("array<double>")
+    length = F.sqrt(F.aggregate(doubles, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(doubles, lambda x: x / length))
 
-    Each task keeps its k best for each query, so k rows a query and task are shuffled. Null vectors fall out.
+
+def best_of(ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray | None, rows: pd.DataFrame, k: int, same: str | None) -> pd.DataFrame:
+    """The k best ``rows`` of each query; with ``same`` only rows of its own label."""
+    score = np.round(vectors @ np.stack(rows["embedding"]).astype(np.float64).T, 9)
+    if same:
+        score = np.where(labels[:, None] == rows[same].to_numpy()[None, :], score, -np.inf)
+    vec = rows["vec_id"].to_numpy()
+    order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
+    at = np.repeat(np.arange(len(ids)), order.shape[1])
+    found = pd.DataFrame({"query": ids[at], "vec_id": vec[order.ravel()], "score": score[at, order.ravel()]})
+    return found[found["score"] > -np.inf]
+
+
+def meet(asked: DataFrame, rows: DataFrame, on: list[str], k: int, same: str | None, blocks: int, pieces: int) -> DataFrame:
+    """(query, vec_id, score): the k best of every pair of a block of queries and a piece of rows that agree in ``on``. Both
+    sides go from executor to executor, and a task holds one block and one piece."""
+    keys = [*on, "__block", "__piece"]
+    left = asked.withColumn("__block", F.pmod(F.xxhash64("query"), F.lit(blocks))).withColumn("__piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint"))))
+    right = rows.withColumn("__piece", F.pmod(F.xxhash64("vec_id"), F.lit(pieces))).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+
+    def pair(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine) or not len(theirs):
+            return pd.DataFrame({"query": [], "vec_id": [], "score": []})
+        return best_of(mine["query"].to_numpy(), np.stack(mine["embedding"]).astype(np.float64), mine[same].to_numpy() if same else None, theirs, k, same)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, FOUND)
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = None, block: int = BLOCK, piece: int = PIECE) -> DataFrame:
+    """(query, vec_id, score, rank) by cosine. ``queries`` are (query, embedding[, same]) and ``corpus`` (vec_id, embedding[,
+    same]); with ``same`` only vectors with the query's value there count, filtered before the top k.
+
+    One block of queries is broadcast and the corpus is read where it lies; more blocks meet pieces of the corpus on the
+    executors. A task keeps its k best for each query either way. Null vectors and such without length fall out.
     """
-    asked = queries.where("embedding IS NOT NULL")
-    blocks = -(-asked.count() // block)
-    columns = ["vec_id", "embedding", *([same] if same else [])]
-    parts = []
-    for i in range(max(1, blocks)):
-        mine = asked.where(F.pmod(F.xxhash64("query"), F.lit(max(1, blocks))) == i).toPandas()
-        if not len(mine):
-            continue
-        mine = mine.sort_values("query", ignore_index=True)
-        shared = corpus.sparkSession.sparkContext.broadcast((mine["query"].to_numpy(), np.stack(mine["embedding"]).astype(np.float64), mine[same].to_numpy() if same else None))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, vectors, labels = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                score = np.round(vectors @ np.stack(batch["embedding"]).astype(np.float64).T, 9)
-                if labels is not None:
-                    score = np.where(labels[:, None] == batch[same].to_numpy()[None, :], score, -np.inf)
-                vec = batch["vec_id"].to_numpy()
-                order = np.lexsort((np.broadcast_to(vec, score.shape), -score), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                found = pd.DataFrame({"query": ids[rows], "vec_id": vec[order.ravel()], "score": score[rows, order.ravel()]})
-                yield found[found["score"] > -np.inf]
-
-        parts.append(corpus.where("embedding IS NOT NULL").select(*columns).mapInPandas(best, "query bigint, vec_id bigint, score double"))
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "query bigint, vec_id bigint, score double, rank int")
-    return ranked(reduce(DataFrame.unionByName, parts), ["query"], [F.desc("score"), F.asc("vec_id")], k)
+    columns = [same] if same else []
+    asked = queries.select("query", normalised(F.col("embedding")).alias("embedding"), *columns).where("embedding IS NOT NULL")
+    rows = corpus.select("vec_id", normalised(F.col("embedding")).alias("embedding"), *columns).where("embedding IS NOT NULL")
+    n = queries.where("embedding IS NOT NULL").count()
+    if n > block:
+        found = meet(asked, rows, [], k, same, -(-n // block), max(1, -(-corpus.count() // piece)))
+        return ranked(found, ["query"], [F.desc("score"), F.asc("vec_id")], k)
+    mine = asked.toPandas().sort_values("query", ignore_index=True)  # at most one block
+    if not len(mine):
+        return corpus.sparkSession.createDataFrame([], f"{FOUND}, rank int")
+    shared = corpus.sparkSession.sparkContext.broadcast((mine["query"].to_numpy(), np.stack(mine["embedding"]), mine[same].to_numpy() if same else None))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield best_of(*shared.value, batch, k, same)
+
+    return ranked(rows.mapInPandas(best, FOUND), ["query"], [F.desc("score"), F.asc("vec_id")], k)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import tokens
 from quillspan.operators.ranking import ranked
+from quillspan.session import written
 
 
 def postings(texts: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -21,20 +22,47 @@ def idf(posts: DataFrame, n_texts: int) -> DataFrame:
     return df.withColumn("idf", F.greatest(F.log((F.lit(n_texts) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)))
 
 
+def best_terms(terms: DataFrame, k: int) -> DataFrame:
+    """The rarest terms of each query, up to where they stand in ten times k texts: what its first guess is made from."""
+    before = Window.partitionBy("query").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    return terms.withColumn("before", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("before") < 10 * k).drop("before")
+
+
 def bm25(queries: DataFrame, texts: DataFrame, k: int = 10, within: str | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, chunk_id, score, rank) of ``queries`` (query, question) in ``texts`` (chunk_id, text, ...). The term
     statistics are those of all texts; with ``within`` only texts of the query's own value of that column count.
 
-    Postings of terms that no query holds are cut off before the join, and terms without weight (in more than half
-    of all texts) join nothing, so what is shuffled follows the matches and not queries times texts.
+    Texts are split once: the postings of the terms that queries hold, and a mark for each text, are written. A first score by
+    each query's rarest terms gives a score that its k-th text reaches at least. The terms whose best weights together stay
+    under it can bring no text by themselves, so only texts with another term of the query are candidates, and frequent terms
+    are looked up for these alone: what is joined grows with the candidates, not with texts times queries. The result is exact.
     """
-    keys = ["chunk_id", *([within] if within else [])]
-    n, average = texts.select(F.size(tokens(F.col("text"))).alias("dl")).where("dl > 0").agg(F.count(F.lit(1)), F.avg("dl")).first()
-    asked = queries.select("query", *([within] if within else []), F.explode(tokens(F.col("question"))).alias("term"))
-    asked = asked.groupBy(*[c for c in asked.columns]).agg(F.count(F.lit(1)).alias("qtf"))
-    posts = postings(texts, keys, "text").join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = posts.join(idf(posts, n or 0).where("idf > 0"), "term")
+    own = [within] if within else []
+    asked = queries.select("query", *own, F.explode(tokens(F.col("question"))).alias("term"))
+    asked = asked.groupBy(*asked.columns).agg(F.count(F.lit(1)).alias("qtf"))
+    mark = texts.sparkSession.createDataFrame([("",)], "term string")
+    split = texts.select("chunk_id", *own, tokens(F.col("text")).alias("w")).where(F.size("w") > 0)
+    spread = split.select("chunk_id", *own, F.size("w").alias("dl"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    held = spread.join(asked.select("term").distinct().unionByName(mark), "term", "left_semi")
+    posts = written(held.groupBy("chunk_id", *own, "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    n, average = posts.where("term = ''").agg(F.count(F.lit(1)), F.avg("dl")).first()
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average or 1.0)))
-    hits = weighed.withColumn("weight", weight).join(asked, ["term", *([within] if within else [])])
-    scored = hits.groupBy("query", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), 6).alias("score"))
-    return ranked(scored, ["query"], [F.desc("score"), F.asc("chunk_id")], k)
+    weighed = posts.where("term <> ''").join(idf(posts.where("term <> ''"), n or 0).where("idf > 0"), "term")
+    weighed = written(weighed.select("term", "chunk_id", *own, "df", weight.alias("weight")), "weights")
+    terms = weighed.groupBy("term").agg(F.max("df").alias("df"), F.max("weight").alias("most"))
+    wanted = written(asked.join(terms, "term"), "asked")
+
+    def scored(hits: DataFrame) -> DataFrame:
+        return hits.groupBy("query", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("qtf")), 6).alias("score"))
+
+    def hits(some: DataFrame) -> DataFrame:
+        return some.select("query", *own, "term", "qtf").join(weighed, ["term", *own])
+
+    first = ranked(scored(hits(best_terms(wanted, k))), ["query"], [F.desc("score"), F.asc("chunk_id")], k)
+    reached = first.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("reached"))
+    upto = Window.partitionBy("query").orderBy(F.col("most") * F.col("qtf"), "term").rowsBetween(Window.unboundedPreceding, 0)
+    bound = wanted.withColumn("bound", F.sum(F.col("most") * F.col("qtf")).over(upto)).join(reached, "query", "left")
+    needed = bound.where(F.col("bound") >= F.coalesce("reached", F.lit(0.0)) - 1e-5)
+    candidates = hits(needed).select("query", "chunk_id").distinct()
+    every = candidates.join(weighed.select("chunk_id", "term", "weight"), "chunk_id").join(wanted.select("query", "term", "qtf"), ["query", "term"])
+    return ranked(scored(every), ["query"], [F.desc("score"), F.asc("chunk_id")], k)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators import ann, chunking, dense, lexical, ranking
+from quillspan.operators import ann, chunking, dense, lexical, ranking, store
 from quillspan.plans import shared as S
-from quillspan.session import new_path
+from quillspan.session import new_path, written
 from quillspan.sources.tables import table
 
 
@@ -47,11 +50,13 @@ def shingle_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def word_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Words of chunks by document: mean, median, the 95th percentile by interpolation and by lower rank, maximum."""
-    t = S.chunks(spark, d).where("text IS NOT NULL").select("doc", F.size(T.words(F.col("text"))).alias("n"))
-    return t.groupBy("doc").agg(
-        F.round(F.avg("n"), 6).alias("mean"), F.round(F.percentile("n", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("n", F.lit(0.95)), 6).alias("p95"),
-        F.element_at(F.array_sort(F.collect_list("n")), (F.floor(F.lit(0.95) * (F.count("n") - 1)) + 1).cast("int")).alias("p95_low"), F.max("n").alias("most"),
-    )
+    t = S.chunks(spark, d).where("text IS NOT NULL").groupBy("doc", F.size(T.words(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("times"))
+    # One row for each number of words of a document: ranks are running sums, whatever number of chunks a document has.
+    upto = Window.partitionBy("doc").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("upto", F.sum("times").over(upto)).withColumn("all", F.sum("times").over(Window.partitionBy("doc")))
+    low = F.min(F.when(F.col("upto") > F.floor(F.lit(0.95) * (F.col("all") - 1)), F.col("n"))).alias("p95_low")
+    point = lambda p: F.round(F.percentile("n", F.lit(p), F.col("times")), 6)
+    return t.groupBy("doc").agg(F.round(F.sum(F.col("n") * F.col("times")) / F.sum("times"), 6).alias("mean"), point(0.5).alias("median"), point(0.95).alias("p95"), low, F.max("n").alias("most"))
 
 
 def document_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -113,23 +118,43 @@ def dense_filtered_top10(spark: SparkSession, d: str) -> DataFrame:
     return dense.search(queries, corpus, 10, same="label").select("query", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
-#: Cells of the approximate index, and how many of them a query looks into.
-CELLS, PROBES = 16, 12
+#: The share of the cells that a query looks into. These vectors are nearly random, so near ones lie in most cells.
+PROBED = 0.6
 
 
-def _approximate(spark: SparkSession, d: str) -> DataFrame:
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, np.ndarray]:
     queries, corpus = _vectors(spark, d)
-    centres = ann.centroids(corpus, CELLS)
-    return ann.search(queries, ann.indexed(corpus, centres), centres, 10, PROBES)
+    centres = ann.centroids(corpus)
+    return queries, corpus, ann.indexed(corpus, centres), centres
 
 
 def ann_top10(spark: SparkSession, d: str) -> DataFrame:
-    return _approximate(spark, d).select("query", "vec_id", "rank", F.round("score", 5).alias("score"))
+    queries, _, index, centres = _index(spark, d)
+    found = ann.search(queries, index, centres, 10, max(1, round(PROBED * len(centres))))
+    return found.select("query", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
-    queries, corpus = _vectors(spark, d)
-    return ann.recall(dense.search(queries, corpus, 10), _approximate(spark, d), 10)
+    """Recall of the index against the exact search, and the share of all pairs that are compared, for several shares of probed cells."""
+    queries, corpus, index, centres = _index(spark, d)
+    exact = written(dense.search(queries, corpus, 10), "exact")
+    pairs = queries.where("embedding IS NOT NULL").count() * index.count()
+    parts = []
+    for share in (0.1, 0.25, 0.5, PROBED):
+        probes = max(1, round(share * len(centres)))
+        hit = ann.recall(exact, ann.search(queries, index, centres, 10, probes), 10).agg(F.sum("shared").alias("shared"), F.sum("size").alias("size"))
+        looked = ann.compared(queries, index, centres, probes)
+        parts.append(hit.crossJoin(looked).select(F.lit(probes).alias("probes"), (F.col("shared") / F.col("size")).alias("recall"), (F.col("rows") / max(1, pairs)).alias("compared")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def vector_store(spark: SparkSession, d: str) -> DataFrame:
+    """Normalised vectors stored under a key, built twice: the second time the store has all rows and is left as it is."""
+    rows = _vectors(spark, d)[1].select("vec_id", "label", dense.normalised(F.col("embedding")).alias("embedding")).where("embedding IS NOT NULL")
+    path = new_path(spark, "vectors")
+    first, again = store.ensured(rows, path, "label"), store.ensured(rows, path, "label")
+    kept = spark.read.parquet(path).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 6).alias("length"))
+    return kept.select("label", "n", "length", F.lit(first).alias("built"), F.lit(again).alias("built_again"))
 
 
 def top100_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -137,8 +162,8 @@ def top100_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranking_export(spark: SparkSession, d: str) -> DataFrame:
-    """One row a question: its first 20 chunks in order."""
-    r = S.ranking(spark, d, 20).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("r"))
+    """One row a question: its first 100 chunks in order."""
+    r = S.ranking(spark, d).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("r"))
     return r.select("qid", F.array_join(F.transform("r", lambda x: x["chunk_id"]), " ").alias("chunks"))
 
 
@@ -167,7 +192,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_manifest, distinct_documents, parse_summary, jsonl_round_trip, token_counts, shingle_counts, word_percentiles, document_labels, chunk_variant_stats,
-        bm25_idf, bm25_pooled_top10, bm25_single_top10, dense_top10, dense_filtered_top10, ann_top10, ann_recall, top100_ranking, ranking_export, rrf_fusion, rerank_depth50, overlap_at_50, chunks_per_document,
+        bm25_idf, bm25_pooled_top10, bm25_single_top10, dense_top10, dense_filtered_top10, ann_top10, ann_recall, vector_store, top100_ranking, ranking_export, rrf_fusion, rerank_depth50, overlap_at_50, chunks_per_document,
     )
 } | _chunk_queries
 
@@ -181,7 +206,7 @@ SELECT doc_id, (pos / {size - overlap})::INT AS k, len(w[pos + 1:pos + {size}]):
 
 
 def _dense_sql(same: str) -> str:
-    return f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score
+    return f"""WITH s AS (SELECT a.vec_id AS query, b.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 9) AS score
   FROM embeddings a JOIN embeddings b ON {same} WHERE a.vec_id % 50 = 0)
 SELECT query, vec_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10"""
 
@@ -227,8 +252,9 @@ SQL = {
     "bm25_single_top10": _bm25_sql("AND post.doc = a.doc", "AND doc_name IS NOT NULL"),
     "dense_top10": _dense_sql("true"),
     "dense_filtered_top10": _dense_sql("a.label = b.label"),
+    "vector_store": "SELECT label, count(*) AS n, 1.0::DOUBLE AS length, true AS built, false AS built_again FROM embeddings WHERE embedding IS NOT NULL GROUP BY label",
     "top100_ranking": f"WITH {S.RANKING} SELECT * FROM ranking",
-    "ranking_export": f"WITH {S.RANKING} SELECT qid, string_agg(chunk_id, ' ' ORDER BY rank) AS chunks FROM ranking WHERE rank <= 20 GROUP BY qid",
+    "ranking_export": f"WITH {S.RANKING} SELECT qid, string_agg(chunk_id, ' ' ORDER BY rank) AS chunks FROM ranking GROUP BY qid",
     "rrf_fusion": f"""WITH {S.RANKING}, {S.FIRST_SEEN}, u AS (SELECT qid, chunk_id, rank FROM ranking UNION ALL SELECT qid, chunk_id, rank FROM other),
         f AS (SELECT qid, chunk_id, sum(1.0 / (60 + rank)) AS fused FROM u GROUP BY ALL)
         SELECT * FROM (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round(fused, 12) DESC, chunk_id)::INT AS rank, round(fused, 9) AS fused FROM f) WHERE rank <= 100""",
