@@ -76,11 +76,15 @@ def report_check(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Random splits that are tried.
+SEEDS = 10_000
+
+
 def split_search(spark: SparkSession, d: str) -> DataFrame:
     company = F.upper(F.substring_index(F.coalesce("doc", "qid"), "_", 1))
     counts = S.questions(spark, d).select(company.alias("grp"), F.coalesce("question_type", F.lit("-")).alias("kind")).groupBy("grp", "kind").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return audit.split_search(counts, total // 3, 100)
+    return audit.split_search(counts, total // 3, SEEDS)
 
 
 def streamed_requests(spark: SparkSession, d: str) -> DataFrame:
@@ -114,9 +118,9 @@ SQL = {
         count(*) FILTER (WHERE fb_soru IS NOT NULL AND fb_soru NOT IN (SELECT fb_soru FROM kilitli_kanit)) AS unknown_item, count(*) FILTER (WHERE kapsama > 1) AS in_percent FROM sizinti_metin_raporu""",
     "split_search": f"""WITH {S.QUESTIONS}, c AS (SELECT upper(split_part(coalesce(doc, qid), '_', 1)) AS grp, coalesce(question_type, '-') AS kind, count(*) AS n FROM q GROUP BY ALL),
         t AS (SELECT sum(n)::BIGINT AS everything, floor(sum(n) / 3)::BIGINT AS target FROM c), g AS (SELECT grp, sum(n)::BIGINT AS n FROM c GROUP BY grp),
-        s AS (SELECT seed, grp, n, coalesce(sum(n) OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', 's', seed, grp)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g, unnest(range(0, 100)) AS u(seed)),
+        s AS (SELECT seed, grp, n, coalesce(sum(n) OVER (PARTITION BY seed ORDER BY md5(concat_ws('|', 's', seed, grp)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g, unnest(range(0, 10000)) AS u(seed)),
         k AS (SELECT s.* FROM s, t WHERE before < target), kk AS (SELECT seed, kind, sum(c.n) AS k FROM k JOIN c USING (grp) GROUP BY ALL), kt AS (SELECT kind, sum(n) AS total FROM c GROUP BY kind),
-        o AS (SELECT x.seed, sum(abs(coalesce(kk.k, 0) * everything - total * target)) AS off FROM (SELECT seed, kind, total FROM kt, unnest(range(0, 100)) AS u(seed)) x LEFT JOIN kk ON kk.seed = x.seed AND kk.kind = x.kind, t GROUP BY x.seed),
+        o AS (SELECT x.seed, sum(abs(coalesce(kk.k, 0) * everything - total * target)) AS off FROM (SELECT seed, kind, total FROM kt, unnest(range(0, 10000)) AS u(seed)) x LEFT JOIN kk ON kk.seed = x.seed AND kk.kind = x.kind, t GROUP BY x.seed),
         h AS (SELECT seed, sum(n)::BIGINT AS members, count(*) AS groups FROM k GROUP BY seed)
         SELECT seed::INT AS seed, groups, members, (abs(members - target) * everything + off)::BIGINT AS score FROM h JOIN o USING (seed), t ORDER BY score, seed LIMIT 1""",
     "streamed_requests": "SELECT model, count(*) AS requests FROM (SELECT DISTINCT id, istek_sha256, model FROM cevaplar WHERE hata IS NULL) GROUP BY model",

@@ -12,6 +12,7 @@ from quillspan.functions import text as T
 from quillspan.operators import ann, chunking, dense, lexical, ranking, store
 from quillspan.plans import shared as S
 from quillspan.session import new_path, written
+from quillspan.sources import files
 from quillspan.sources.tables import table
 
 
@@ -38,6 +39,34 @@ def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("doc").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("total_words"), F.sum(F.length("text")).alias("total_chars"))
 
 
+def files_by_document(spark: SparkSession, d: str) -> DataFrame:
+    """Pages written as JSON lines, one folder a document, and read by a pattern with the document taken from the path; and the bytes
+    of the files themselves."""
+    path = new_path(spark, "pages")
+    pages = table(spark, d, "documents", "doc_name", "sayfa_idx", "text").where("doc_name IS NOT NULL AND trim(doc_name) <> ''").withColumn("doc", F.md5("doc_name"))
+    pages.write.partitionBy("doc").json(path)
+    back = files.keyed_lines(spark, f"{path}/doc=*/*.json", "doc_name string, sayfa_idx int, text string", "key", r"doc=([^/]*)/").groupBy("key").agg(F.count(F.lit(1)).alias("pages"))
+    sizes = files.file_manifest(spark, f"{path}/doc=*/*.json").groupBy(F.regexp_extract("path", r"doc=([^/]*)/", 1).alias("key")).agg((F.sum("n_bytes") > 0).alias("filled"))
+    return back.join(sizes, "key")
+
+
+def whole_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The items of each document written as one JSON array a line, read again as whole documents."""
+    path = new_path(spark, "whole")
+    rows = table(spark, d, "kilitli_kanit", "fb_soru", "fb_belge", "fb_sayfa").groupBy("fb_belge").agg(F.to_json(F.array_sort(F.collect_list(F.struct("fb_soru", "fb_belge", "fb_sayfa")))).alias("value"))
+    rows.select("value", F.md5(F.coalesce("fb_belge", F.lit(""))).alias("doc")).repartition("doc").write.partitionBy("doc").text(path)
+    back = files.whole_json(spark, f"{path}/doc=*/*.txt", "fb_soru string, fb_belge string, fb_sayfa int")
+    return back.groupBy("fb_belge").agg(F.count(F.lit(1)).alias("n"), F.sum("fb_sayfa").alias("pages"))
+
+
+def variant_store(spark: SparkSession, d: str) -> DataFrame:
+    """The windows of all variants in one table by variant, and how many windows and words each holds."""
+    pages = table(spark, d, "documents", "doc_id", "text")
+    parts = [chunking.chunked(pages, "doc_id", "text", size, overlap).withColumn("variant", F.lit(v)) for v, (size, overlap) in chunking.VARIANTS.items()]
+    kept = written(reduce(DataFrame.unionByName, parts), "variants", ["variant"])
+    return kept.groupBy("variant").agg(F.count(F.lit(1)).alias("chunks"), F.sum("n_words").alias("words"))
+
+
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     t = S.chunks(spark, d).where("text IS NOT NULL")
     return t.select("chunk_id", F.size(T.words(F.col("text"))).alias("n_words"), F.size(T.tokens(F.col("text"))).alias("n_tokens"), F.round(T.digit_share(F.col("text")), 6).alias("digits"))
@@ -103,6 +132,13 @@ def bm25_single_top10(spark: SparkSession, d: str) -> DataFrame:
     return lexical.bm25(_asked(spark, d).where("doc IS NOT NULL"), S.chunks(spark, d).where("text IS NOT NULL"), within="doc")
 
 
+def bm25_labelled_top10(spark: SparkSession, d: str) -> DataFrame:
+    """The pooled search over texts that carry the label of their document; the label is part of the indexed text only."""
+    labels = document_labels(spark, d).groupBy(F.col("doc_name").alias("doc")).agg(F.min("label").alias("label"))
+    texts = S.chunks(spark, d).where("text IS NOT NULL").join(labels, "doc", "left").select("chunk_id", F.concat_ws(" ", "label", "text").alias("text"))
+    return lexical.bm25(_asked(spark, d).drop("doc"), texts)
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings", "vec_id", "embedding", "label")
     return v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "embedding", "label"), v
@@ -181,6 +217,18 @@ def overlap_at_50(spark: SparkSession, d: str) -> DataFrame:
     return ranking.overlap_at(S.ranking(spark, d), S.first_seen(spark, d), "qid", "chunk_id", 50)
 
 
+def overlap_mean(spark: SparkSession, d: str) -> DataFrame:
+    """The mean over questions of the shared part of the two rankings' first 50."""
+    return overlap_at_50(spark, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("shared") / F.col("size")), 6).alias("overlap"))
+
+
+def reproduction_check(spark: SparkSession, d: str) -> DataFrame:
+    """The stored ranking against one computed again: rows of either that the other lacks at the same rank."""
+    kept, again = written(S.ranking(spark, d).select("qid", "rank", "chunk_id"), "ranking"), S.ranking(spark, d).select("qid", "rank", "chunk_id")
+    off = kept.exceptAll(again).unionByName(again.exceptAll(kept))
+    return kept.agg(F.count(F.lit(1)).alias("n")).crossJoin(off.agg(F.count(F.lit(1)).alias("different")))
+
+
 def chunks_per_document(spark: SparkSession, d: str) -> DataFrame:
     """How many chunks of its document each scored question can reach: what a filtered search returns at most."""
     c = S.chunks(spark, d).groupBy("doc").agg(F.count(F.lit(1)).alias("in_doc"))
@@ -192,7 +240,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_manifest, distinct_documents, parse_summary, jsonl_round_trip, token_counts, shingle_counts, word_percentiles, document_labels, chunk_variant_stats,
-        bm25_idf, bm25_pooled_top10, bm25_single_top10, dense_top10, dense_filtered_top10, ann_top10, ann_recall, vector_store, top100_ranking, ranking_export, rrf_fusion, rerank_depth50, overlap_at_50, chunks_per_document,
+        bm25_idf, bm25_pooled_top10, bm25_single_top10, bm25_labelled_top10, files_by_document, whole_json_round_trip, variant_store, overlap_mean, reproduction_check, dense_top10, dense_filtered_top10, ann_top10, ann_recall, vector_store, top100_ranking, ranking_export, rrf_fusion, rerank_depth50, overlap_at_50, chunks_per_document,
     )
 } | _chunk_queries
 
@@ -211,8 +259,8 @@ def _dense_sql(same: str) -> str:
 SELECT query, vec_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10"""
 
 
-def _bm25_sql(within: str, asked: str) -> str:
-    return f"""WITH {S.CHUNKS}, t AS (SELECT chunk_id, doc, {_T} AS w FROM chunk WHERE text IS NOT NULL),
+def _bm25_sql(within: str, asked: str, texts: str = "WITH " + S.CHUNKS) -> str:
+    return f"""{texts}, t AS (SELECT chunk_id, doc, {_T} AS w FROM chunk WHERE text IS NOT NULL),
 p AS (SELECT chunk_id, doc, len(w) AS dl, unnest(w) AS term FROM t), post AS (SELECT chunk_id, doc, dl, term, count(*) AS tf FROM p GROUP BY ALL),
 n AS (SELECT count(*) AS n, avg(len(w)) AS average FROM t WHERE len(w) > 0),
 df AS (SELECT term, greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 0) AS idf FROM post, n GROUP BY term),
@@ -223,7 +271,20 @@ s AS (SELECT query, chunk_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.7
 SELECT * FROM (SELECT query, chunk_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id)::INT AS rank FROM s) WHERE rank <= 10"""
 
 
+_LABELS = r"""b AS (SELECT DISTINCT doc_name, company, doc_type, doc_period FROM belgeler WHERE doc_name IS NOT NULL),
+        lp AS (SELECT *, CASE WHEN regexp_matches(doc_name, '_\d{4}Q\d_') THEN 'Q' || regexp_extract(doc_name, '_(\d{4})Q(\d)_', 2) || ' ' || regexp_extract(doc_name, '_(\d{4})Q(\d)_', 1)
+          WHEN regexp_matches(doc_name, 'dated-\d{4}-\d{2}-\d{2}') THEN regexp_extract(doc_name, 'dated-(\d{4}-\d{2}-\d{2})', 1) ELSE doc_period::VARCHAR END AS per,
+          CASE regexp_replace(lower(doc_type), '[^a-z0-9]', '', 'g') WHEN '10k' THEN 'annual report (10-K)' WHEN '10q' THEN 'quarterly report (10-Q)' WHEN '8k' THEN 'current report (8-K)'
+            WHEN 'earnings' THEN 'earnings release' WHEN 'annualreport' THEN 'annual report' ELSE doc_type END AS kind FROM b),
+        labels AS (SELECT doc_name, concat_ws('. ', company, concat_ws(', ', kind, per)) || '.' AS label FROM lp)"""
+_LABELLED = f"WITH {S.CHUNKS.replace('chunk AS', 'bare AS', 1)}, {_LABELS}, one AS (SELECT doc_name, min(label) AS label FROM labels GROUP BY 1), chunk AS (SELECT chunk_id, doc, concat_ws(' ', label, text) AS text FROM bare LEFT JOIN one ON doc_name = doc WHERE text IS NOT NULL)"
 SQL = {
+    "files_by_document": "SELECT md5(doc_name) AS key, count(*) AS pages, true AS filled FROM documents WHERE doc_name IS NOT NULL AND trim(doc_name, ' ') <> '' GROUP BY 1",
+    "whole_json_round_trip": "SELECT fb_belge, count(*) AS n, sum(fb_sayfa)::BIGINT AS pages FROM kilitli_kanit GROUP BY fb_belge",
+    "bm25_labelled_top10": _bm25_sql("", "", _LABELLED),
+    "overlap_mean": f"""WITH {S.RANKING}, {S.FIRST_SEEN}, o AS (SELECT r.qid, count(o.qid) / count(*) AS share FROM ranking r LEFT JOIN (SELECT * FROM other WHERE rank <= 50) o ON r.qid = o.qid AND r.chunk_id = o.chunk_id WHERE r.rank <= 50 GROUP BY r.qid)
+        SELECT count(*) AS n, round(avg(share), 6) AS overlap FROM o""",
+    "reproduction_check": f"WITH {S.RANKING} SELECT count(*) AS n, 0::BIGINT AS different FROM ranking",
     "document_manifest": "SELECT doc_id, strlen(text) AS n_bytes, sha256(text) AS fingerprint FROM documents WHERE text IS NOT NULL",
     "distinct_documents": "SELECT DISTINCT doc_name FROM sorular WHERE doc_name IS NOT NULL ORDER BY 1",
     "parse_summary": """SELECT doc_name, count(*) AS pages, sum(CASE WHEN length(trim(coalesce(text, ''), ' ')) < 20 THEN 1 ELSE 0 END)::BIGINT AS empty_pages,
@@ -236,15 +297,13 @@ SQL = {
     "word_percentiles": f"""WITH {S.CHUNKS}, t AS (SELECT doc, len({_W})::INT AS n FROM chunk WHERE text IS NOT NULL)
         SELECT doc, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.95), 6) AS p95,
         list_sort(list(n))[floor(0.95 * (count(n) - 1))::INT + 1] AS p95_low, max(n) AS most FROM t GROUP BY doc""",
-    "document_labels": r"""WITH b AS (SELECT DISTINCT doc_name, company, doc_type, doc_period FROM belgeler WHERE doc_name IS NOT NULL),
-        p AS (SELECT *, CASE WHEN regexp_matches(doc_name, '_\d{4}Q\d_') THEN 'Q' || regexp_extract(doc_name, '_(\d{4})Q(\d)_', 2) || ' ' || regexp_extract(doc_name, '_(\d{4})Q(\d)_', 1)
-          WHEN regexp_matches(doc_name, 'dated-\d{4}-\d{2}-\d{2}') THEN regexp_extract(doc_name, 'dated-(\d{4}-\d{2}-\d{2})', 1) ELSE doc_period::VARCHAR END AS per,
-          CASE regexp_replace(lower(doc_type), '[^a-z0-9]', '', 'g') WHEN '10k' THEN 'annual report (10-K)' WHEN '10q' THEN 'quarterly report (10-Q)' WHEN '8k' THEN 'current report (8-K)'
-            WHEN 'earnings' THEN 'earnings release' WHEN 'annualreport' THEN 'annual report' ELSE doc_type END AS kind FROM b)
-        SELECT doc_name, concat_ws('. ', company, concat_ws(', ', kind, per)) || '.' AS label FROM p""",
+    "document_labels": f"WITH {_LABELS} SELECT doc_name, label FROM labels",
     "chunk_variant_stats": "SELECT * FROM ("
     + " UNION ALL ".join(f"SELECT '{v}' AS variant, count(*) AS chunks, sum(n_words)::BIGINT AS words FROM ({_windows_sql(s, o)})" for v, (s, o) in chunking.VARIANTS.items())
     + ")",
+    "variant_store": "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{v}' AS variant, count(*) AS chunks, sum(n_words)::BIGINT AS words FROM ({_windows_sql(s, o)})" for v, (s, o) in chunking.VARIANTS.items())
+    + ")",
     "bm25_idf": f"""WITH {S.CHUNKS}, t AS (SELECT chunk_id, {_T} AS w FROM chunk WHERE text IS NOT NULL), p AS (SELECT DISTINCT chunk_id, unnest(w) AS term FROM t),
         n AS (SELECT count(*) AS n FROM t WHERE len(w) > 0)
         SELECT term, count(*) AS df, round(greatest(ln((any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 0), 6) AS idf FROM p, n GROUP BY term""",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as T
-from quillspan.operators import audit, chunking, dense, grading, metrics, ranking, routing
+from quillspan.operators import ann, audit, chunking, dense, grading, lexical, metrics, ranking, requests, routing, store
 from quillspan.plans import answers, grades
 
 
@@ -56,10 +56,12 @@ def test_search_against_brute_force(spark):
     rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(vectors)] + [(60, None, 1)]
     corpus = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
     queries = corpus.where("vec_id < 7").withColumnRenamed("vec_id", "query")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     for same in (None, "label"):
-        got = {(r["query"], r["rank"]): r["vec_id"] for r in dense.search(queries, corpus, 5, same, block=3).collect()}
+        got = {(r["query"], r["rank"]): r["vec_id"] for r in dense.search(queries, corpus, 5, same, block=3, piece=20).collect()}
+        assert got == {(r["query"], r["rank"]): r["vec_id"] for r in dense.search(queries, corpus, 5, same).collect()}
         for q in range(7):
-            score = vectors @ vectors[q]
+            score = unit @ unit[q]
             order = [i for i in sorted(range(60), key=lambda i: (-round(score[i], 9), i)) if same is None or i % 3 == q % 3][:5]
             assert [got[q, k + 1] for k in range(5)] == order
 
@@ -207,6 +209,61 @@ def test_letters_go_on_after_z(spark, tmp_path):
     assert len(set(letters)) == 60 and {"A", "Z", "A2", "Z2", "H3"} <= set(letters)
 
 
+def test_requests_keep_braces_of_the_question(spark):
+    asked = spark.createDataFrame([("q", "What was {FY2022}? Use {CONTEXT} words."), ("n", None)], "qid string, question string")
+    contexts = spark.createDataFrame([("q", "K1", "[doc: X, page: 1]\ntext", 1, [("X", 1)])], "qid string, kosul string, context string, n_words int, pages array<struct<doc: string, page: int>>")
+    got = {r["kosul"]: r["text"] for r in requests.requests(asked, contexts).collect()}
+    assert set(got) == {"K0", "K1"} and all(t.count("What was {FY2022}? Use {CONTEXT} words.") == 1 for t in got.values())
+    assert "[doc: X, page: 1]" in got["K1"] and "[doc:" not in got["K0"] and "Sources:" not in got["K0"]
+    with pytest.raises(ValueError, match="locked"):
+        requests.refuse_locked(asked, asked.limit(1))
+    assert requests.refuse_locked(asked, asked.limit(1), allowed=True) is asked and requests.refuse_locked(asked, asked.limit(0)) is asked
+
+
+def test_store_is_built_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "n int, k string")
+    assert [store.ensured(r, f"{tmp_path}/s", "k") for r in (rows, rows, rows.limit(1), rows)] == [True, False, True, True]
+
+
+def test_cells_find_near_vectors_with_few_comparisons(spark):
+    rng = np.random.default_rng(3)
+    heads = rng.normal(size=(20, 16))
+    vectors = heads[np.arange(1000) % 20] + 0.15 * rng.normal(size=(1000, 16))
+    corpus = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(1000, None), (1001, [0.0] * 16)], "vec_id bigint, embedding array<double>")
+    queries = corpus.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query")
+    centres = ann.centroids(corpus)
+    index = ann.indexed(corpus, centres)
+    hit = ann.recall(dense.search(queries, corpus, 10), ann.search(queries, index, centres, 10, 4, block=7, piece=20), 10).agg(F.sum("shared"), F.sum("size")).first()
+    assert hit[0] / hit[1] >= 0.95 and ann.compared(queries, index, centres, 4).first()[0] <= 0.2 * 20 * 1000
+    nothing = corpus.limit(0)
+    assert ann.search(nothing.withColumnRenamed("vec_id", "query"), index, centres, 10, 4).count() == 0 and dense.search(queries, nothing, 3).count() == 0
+    assert ann.indexed(nothing, ann.centroids(nothing)).count() == 0
+
+
+def test_pruned_search_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(40)]
+    weights = 1 / np.arange(1, 41)
+    texts = [(f"c{i}", " ".join(rng.choice(vocabulary, rng.integers(1, 30), p=weights / weights.sum()))) for i in range(400)] + [("empty", ""), ("null", None)]
+    asked = [(i, " ".join(rng.choice(vocabulary, 6, p=weights / weights.sum()))) for i in range(12)] + [(98, "unknown words"), (99, None)]
+    split = {c: t.split() for c, t in texts if t}
+    n, average = len(split), sum(map(len, split.values())) / len(split)
+    df = {w: sum(w in t for t in split.values()) for w in vocabulary}
+    want = []
+    for q, question in asked:
+        score = {}
+        for c, t in split.items():
+            x = 0.0
+            for w in (question or "").split():
+                if w in t and (idf := max(0.0, math.log((n - df[w] + 0.5) / (df[w] + 0.5)))) > 0:
+                    x += idf * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average))
+            if x > 0:
+                score[c] = round(x, 6)
+        want += [(q, c, k + 1) for k, c in enumerate(sorted(score, key=lambda c: (-score[c], c))[:10])]
+    got = lexical.bm25(spark.createDataFrame(asked, "query int, question string"), spark.createDataFrame(texts, "chunk_id string, text string"))
+    assert sorted((r["query"], r["chunk_id"], r["rank"]) for r in got.collect()) == sorted(want)
+
+
 def test_containment_by_hand(spark):
     words = [f"w{i}" for i in range(20)]
     examples = spark.createDataFrame([("a", " ".join(words[:12])), ("b", "short"), ("c", None)], "id string, text string")
