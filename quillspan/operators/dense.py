@@ -23,9 +23,17 @@ def normalised(vector: Column) -> Column:
     return F.when(length > 0, F.transform(doubles, lambda x: x / length))
 
 
+def with_length(rows: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """Those of ``rows`` whose vector has a length, and their vectors over their lengths."""
+    vectors = np.stack(rows["embedding"]).astype(np.float64)
+    length = np.sqrt((vectors * vectors).sum(axis=1))
+    return rows[length > 0], vectors[length > 0] / length[length > 0, None]
+
+
 def best_of(ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray | None, rows: pd.DataFrame, k: int, same: str | None) -> pd.DataFrame:
     """The k best ``rows`` of each query; with ``same`` only rows of its own label."""
-    score = np.round(vectors @ np.stack(rows["embedding"]).astype(np.float64).T, 9)
+    rows, theirs = with_length(rows)
+    score = np.round(vectors @ theirs.T, 9)
     if same:
         score = np.where(labels[:, None] == rows[same].to_numpy()[None, :], score, -np.inf)
     vec = rows["vec_id"].to_numpy()
@@ -45,7 +53,8 @@ def meet(asked: DataFrame, rows: DataFrame, on: list[str], k: int, same: str | N
     def pair(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(theirs):
             return pd.DataFrame({"query": [], "vec_id": [], "score": []})
-        return best_of(mine["query"].to_numpy(), np.stack(mine["embedding"]).astype(np.float64), mine[same].to_numpy() if same else None, theirs, k, same)
+        mine, vectors = with_length(mine)
+        return best_of(mine["query"].to_numpy(), vectors, mine[same].to_numpy() if same else None, theirs, k, same)
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, FOUND)
 
@@ -58,16 +67,17 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, same: str | None = Non
     executors. A task keeps its k best for each query either way. Null vectors and such without length fall out.
     """
     columns = [same] if same else []
-    asked = queries.select("query", normalised(F.col("embedding")).alias("embedding"), *columns).where("embedding IS NOT NULL")
-    rows = corpus.select("vec_id", normalised(F.col("embedding")).alias("embedding"), *columns).where("embedding IS NOT NULL")
-    n = queries.where("embedding IS NOT NULL").count()
+    asked = queries.select("query", "embedding", *columns).where("embedding IS NOT NULL")
+    rows = corpus.select("vec_id", "embedding", *columns).where("embedding IS NOT NULL")
+    n = asked.count()
     if n > block:
         found = meet(asked, rows, [], k, same, -(-n // block), max(1, -(-corpus.count() // piece)))
         return ranked(found, ["query"], [F.desc("score"), F.asc("vec_id")], k)
     mine = asked.toPandas().sort_values("query", ignore_index=True)  # at most one block
     if not len(mine):
         return corpus.sparkSession.createDataFrame([], f"{FOUND}, rank int")
-    shared = corpus.sparkSession.sparkContext.broadcast((mine["query"].to_numpy(), np.stack(mine["embedding"]), mine[same].to_numpy() if same else None))
+    mine, vectors = with_length(mine)
+    shared = corpus.sparkSession.sparkContext.broadcast((mine["query"].to_numpy(), vectors, mine[same].to_numpy() if same else None))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
