@@ -40,17 +40,16 @@ WHOLE_SOURCE = re.compile(r"(\bnone|,\s*(?:pages?|p\.?|sayfa|seite)?\s*\d+)[\W_]
 LEAD = re.compile(r"^([^\d:.?!]{2,40}?)\s*:\s+(?=\S)|^([^\d:.?!]{2,40}?)\s*:$")
 SENTENCE = re.compile(r"(?<=[.!?])(?<!Mio\.)(?<!Mrd\.)(?<!Tsd\.)(?<!U\.S\.)\s+(?=[^\sa-zğışçöü(])")
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-#: Expressions by which texts decline, words that turn a sentence round, words of agreement, and letters
-#: by which languages are told.
+#: Expressions by which texts decline and words that turn a sentence round (both for lower-case text), words of
+#: agreement, and letters by which languages are told.
 DECLINES = re.compile(
     r"\b(?:can(?:no|')t|unable to|not able to|won't|have to decline|must refrain|not possible to|too little to|not disclosed|not (?:contain|hold|give) enough|lacks? the details"
     r"|insufficient information|no answer can|remains unknown|let me (?:state|confirm|calculate|determine|derive|know)|language model|beyond what i am allowed|don't have the data|no access"
     r"|rather not|cannot be (?:determined|stated|answered)|not available|not enough information|declin(?:e|ing) to"
     r"|veremem|veremiyorum|vermemeyi|mümkün değil|yeterli bilgi|yetersiz bilgi|belirlenemiyor|belirlenemez|olamıyorum|olamam|yer almıyor|erişimim olmadığı|bilinmiyor"
-    r"|kann (?:ich )?(?:nicht|leider|keine)|leider|nicht möglich|ne peux pas|impossible de|désolé|no puedo|lo siento|no es posible)\b",
-    re.I,
+    r"|kann (?:ich )?(?:nicht|leider|keine)|leider|nicht möglich|ne peux pas|impossible de|désolé|no puedo|lo siento|no es posible)\b"
 )
-TURNS = re.compile(r"\b(?:(?<!sorry, )but|yet|ama|ancak|fakat|aber|mais|pero)\b|;", re.I)
+TURNS = re.compile(r"\b(?:(?<!sorry, )but|yet|ama|ancak|fakat|aber|mais|pero)\b|;")
 #: Words beside those of the unit lexicon that a bare quantity may hold.
 JOINING = set("de d of a for fy as one fraction ratio us u s per basis point points base baz puan abd megawatt gigawatt kilowatt kwh mwh gwh twh puntos básicos minus".split())
 SHORT = {"yes": "en", "evet": "tr", "hayır": "tr", "ja": "de", "nein": "de", "oui": "fr", "non": "fr", "sí": "es", "improved": "en", "weakened": "en"}
@@ -58,7 +57,7 @@ LETTERS = {"tr": "ışğİ", "de": "äß", "fr": "èêàûœ", "es": "ñ¿¡áí
 LANGUAGES = {w: {k for k in LANGUAGE_WORDS if w in LANGUAGE_WORDS[k].split()} for k in LANGUAGE_WORDS for w in LANGUAGE_WORDS[k].split()}
 
 
-SIGNS, SOLID, DIGIT, QUOTED = re.compile(r"[\W_]+"), re.compile(r"[^\W_]"), re.compile(r"\d"), re.compile(r"['‘\"“][^'\n]{8,60}['’\"”]")
+SIGNS, NO_LETTERS, SOLID, DIGIT, QUOTED = re.compile(r"[\W_]+"), bytes(i for i in range(128) if not chr(i).isalnum()), re.compile(r"[^\W_]"), re.compile(r"\d"), re.compile(r"['‘\"“][^'\n]{8,60}['’\"”]")
 #: Numbers of words as features; bounded, as texts hold ever new ones.
 WORD_CODES: dict[str, int] = {}
 MOST_CODES = 300_000
@@ -88,9 +87,16 @@ def shape(mark: bool, lead: bool, source: bool, *rest: bool | str) -> list[int]:
     return [code_of(x) for x in f]
 
 
+def joined_letters(lower: str) -> str:
+    """Letters and digits of a lower-case text alone, without the Turkish difference of i and ı."""
+    if lower.isascii():
+        return lower.encode("ascii").translate(None, NO_LETTERS).decode("ascii")
+    return SIGNS.sub("", lower.replace("ı", "i"))
+
+
 @lru_cache(maxsize=4096)  # a question comes with many answers and is met in each of their clauses
 def bare(text: str) -> str:
-    return SIGNS.sub("", text.lower().replace("ı", "i"))
+    return joined_letters(text.lower())
 
 
 @lru_cache(maxsize=4096)
@@ -125,12 +131,12 @@ def asked_language(question: str) -> str | None:
 
 
 class Clause:
-    __slots__ = ("text", "mark", "lead", "source", "words", "echo")
+    __slots__ = ("text", "lower", "mark", "lead", "source", "words", "echo")
 
     def __init__(self, text: str, mark: bool, lead: str, source: bool, question: str):
-        self.text, self.mark, self.lead, self.source = text, mark, lead, source
-        self.words = WORD.findall(text.lower())
-        self.echo = 0.0 if source else echo_share(text, question, self.words)
+        self.text, self.lower, self.mark, self.lead, self.source = text, text.lower(), mark, lead, source
+        self.words = WORD.findall(self.lower)
+        self.echo = 0.0 if source else echo_share(self.lower, question, self.words)
 
 
 def clauses(answer: str | None, question: str) -> list[Clause]:
@@ -148,7 +154,7 @@ def clauses(answer: str | None, question: str) -> list[Clause]:
                 out.append(Clause(rest, False, "", True, question))
             continue
         pieces = SENTENCE.split(line)
-        for piece in pieces if len(pieces) == 1 or echo_share(line, question) <= 0.75 else [line]:
+        for piece in pieces if len(pieces) == 1 or echo_share(line.lower(), question) <= 0.75 else [line]:
             if MARK.match(piece):
                 mark, lead, piece = True, "", MARK.sub("", piece)
             elif (m := LEAD.match(piece)) and len((m[1] or m[2]).split()) <= 6:
@@ -169,15 +175,15 @@ def least_echo(question: str) -> int:
 
 
 def echo_share(clause: str, question: str, words: list[str] | None = None) -> float:
-    """How far the clause is the question, read as letters and digits only; repeats of the question count whole."""
-    a, q = SIGNS.sub("", clause.lower().replace("ı", "i")), bare(question)
+    """How far the (lower-case) clause is the question, read as letters and digits only; repeats of the question count whole."""
+    a, q = joined_letters(clause), bare(question)
     if not a or not q:
         return 0.0
     if q in a:
         return a.count(q) * len(q) / len(a)
     shared = 0.0
     if len(clause) >= least_echo(question):
-        said, asked = set(WORD.findall(clause.lower()) if words is None else words), word_set(question)
+        said, asked = set(WORD.findall(clause) if words is None else words), word_set(question)
         shared = len(said & asked) / max(1, len(said), len(asked))
     return max(len(a) / len(q) if len(a) > 12 and a in q else 0.0, shared if shared > 0.75 else 0.0)
 
@@ -206,7 +212,7 @@ class Record:
             number = bool(DIGIT.search(c.text))
             known = number and all(w in LEXICON or w in JOINING for w in words)
             echo = "whole" if c.echo > 0.75 else "part" if c.echo > 0.4 else "none"
-            declining = f"True-{bool(TURNS.search(c.text))}" if DECLINES.search(c.text) else "False"
+            declining = f"True-{bool(TURNS.search(c.lower))}" if DECLINES.search(c.lower) else "False"
             f = [*shape(c.mark, bool(c.lead), False, place, closed, number, known, echo, declining, self.mismatch), code_of(f"first:{' '.join(words[:2])}")]
             f += [WORD_CODES.get(w) or word_code(w) for w in set(words[:14])]
             if c.lead:
@@ -314,7 +320,7 @@ def weak_tags(r: Record) -> list[int] | None:
             tags[i] = UNFINISHED
         elif not c.source and c.echo > 0.75:
             tags[i] = ECHO
-    declining = [not c.source and bool(DECLINES.search(c.text)) and not TURNS.search(c.text) for c in r.clauses]
+    declining = [not c.source and bool(DECLINES.search(c.lower)) and not TURNS.search(c.lower) for c in r.clauses]
     end = r.clauses[last]
     if tags[last] == ECHO:
         return tags if all(t == ECHO or c.source for t, c in zip(tags, r.clauses)) else None
