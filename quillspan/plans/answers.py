@@ -137,6 +137,23 @@ def usage_totals(spark: SparkSession, d: str) -> DataFrame:
     return a.groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("kullanim.girdi").alias("tokens_in"), F.sum("kullanim.cikti").alias("tokens_out"), F.round(F.avg("kullanim.dusunme"), 6).alias("mean_thinking"), F.round(F.sum("maliyet_usd"), 6).alias("cost"))
 
 
+#: First calls of each model and condition that a latency summary leaves out.
+WARM_UPS = 3
+
+
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Median and 95th percentile (lower rank) of the seconds of a call in hundredths, by model and condition, after three
+    warm-ups. Calls are counted by hundredths first, so ranks are running sums over these, however many calls there are."""
+    cell = ["model", "kosul"]
+    a = table(spark, d, "cevaplar", "kayit_no", *cell, "tarih", "sure_sn").where("sure_sn IS NOT NULL")
+    warm = ranked(a, cell, [F.asc_nulls_last("tarih"), F.asc("kayit_no")], WARM_UPS).select("kayit_no")
+    t = a.join(warm, "kayit_no", "left_anti").groupBy(*cell, F.round("sure_sn", 2).alias("s")).agg(F.count(F.lit(1)).alias("times"))
+    upto = Window.partitionBy(*cell).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumn("upto", F.sum("times").over(upto)).withColumn("all", F.sum("times").over(Window.partitionBy(*cell)))
+    low = F.min(F.when(F.col("upto") > F.floor(F.lit(0.95) * (F.col("all") - 1)), F.col("s")))
+    return t.groupBy(*cell).agg(F.sum("times").alias("calls"), F.round(F.percentile("s", F.lit(0.5), F.col("times")), 6).alias("median"), low.alias("p95_low"))
+
+
 def present_absent(spark: SparkSession, d: str) -> DataFrame:
     """Yes-or-no accuracy where an evidence page was cited, and where none was."""
     gold = S.questions(spark, d).where(T.gold_type(F.col("answer")) == "verdict").select("qid", T.verdict(F.trim("answer")).alias("gold"))
@@ -177,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         latest_success_keys, missing_answers, request_fingerprint, gold_types, final_answers, insufficiency_flags, common_graded, yes_baseline, citation_pages, citation_scores, citation_rollup, pilot_first4,
-        quota_sample, blind_assignment, blind_answers, rescore_agreement, usage_totals, present_absent, company_mentions, company_documents, routed_documents, routed_ranking, question_years,
+        quota_sample, blind_assignment, blind_answers, rescore_agreement, usage_totals, latency_summary, present_absent, company_mentions, company_documents, routed_documents, routed_ranking, question_years,
     )
 }
 
@@ -219,6 +236,8 @@ SQL = {
     "rescore_agreement": f"""WITH {OK}, {parts_sql('ok')}, e AS (SELECT id, kosul, model, prompt_surum, arg_min(final, kayit_no) AS a, arg_max(final, kayit_no) AS b FROM pt GROUP BY ALL HAVING count(*) > 1)
         SELECT model, count(*) AS common, sum((a = b)::INT)::BIGINT AS same FROM e GROUP BY model""",
     "usage_totals": "SELECT model, count(*) AS calls, sum(kullanim.girdi)::BIGINT AS tokens_in, sum(kullanim.cikti)::BIGINT AS tokens_out, round(avg(kullanim.dusunme), 6) AS mean_thinking, round(sum(maliyet_usd), 6) AS cost FROM cevaplar GROUP BY model",
+    "latency_summary": """WITH a AS (SELECT * FROM cevaplar WHERE sure_sn IS NOT NULL QUALIFY row_number() OVER (PARTITION BY model, kosul ORDER BY tarih NULLS LAST, kayit_no) > 3)
+        SELECT model, kosul, count(*) AS calls, round(quantile_cont(round(sure_sn, 2), 0.5), 6) AS median, list_sort(list(round(sure_sn, 2)))[floor(0.95 * (count(*) - 1))::INT + 1] AS p95_low FROM a GROUP BY ALL""",
     "present_absent": f"""WITH {S.EVIDENCE}, {_PARTS}, {_CITED}, {_SCORED.format('', '')}, g AS (SELECT qid, {verdict_sql(_TRIMMED)} AS gold FROM q WHERE {GOLD_TYPE} = 'verdict'),
         a AS (SELECT n_right > 0 AS present, gold, {verdict_sql('final')} AS given FROM cs JOIN g USING (qid) JOIN cx USING (record))
         SELECT present, sum(CASE WHEN given = gold THEN 1 ELSE 0 END)::BIGINT AS correct, count(*) AS n FROM a GROUP BY present""",

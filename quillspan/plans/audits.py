@@ -81,7 +81,7 @@ SEEDS = 10_000
 
 
 def split_search(spark: SparkSession, d: str) -> DataFrame:
-    company = F.upper(F.substring_index(F.coalesce("doc", "qid"), "_", 1))
+    company = S.company(F.col("doc"), F.col("qid"))
     counts = S.questions(spark, d).select(company.alias("grp"), F.coalesce("question_type", F.lit("-")).alias("kind")).groupBy("grp", "kind").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     return audit.split_search(counts, total // 3, SEEDS)

@@ -28,6 +28,24 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     return metrics.recall(_hits(spark, d))
 
 
+def _locked(spark: SparkSession, d: str) -> DataFrame:
+    """(qid) of the questions on companies of the held-out third."""
+    return S.questions(spark, d).where(S.locked(S.company(F.col("doc"), F.col("qid")))).select("qid")
+
+
+def development_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Questions outside the held-out third, with the pages of their evidence in its order."""
+    q = S.questions(spark, d).join(_locked(spark, d), "qid", "left_anti")
+    pages = F.transform("evidence", lambda e: F.concat_ws(":", e["doc_name"], e["evidence_page_num"].cast("string")))
+    return q.select("qid", F.coalesce(F.array_join(pages, " "), F.lit("")).alias("pages"))
+
+
+def development_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall over development questions alone; it stops if a held-out one is among them."""
+    dev = requests.refuse_locked(development_scan(spark, d), _locked(spark, d))
+    return metrics.recall(_hits(spark, d).join(dev.select("qid"), "qid", "left_semi"))
+
+
 def all_evidence_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Questions all of whose evidence is found by rank 5, 10 and 50."""
     worst = _hits(spark, d).groupBy("qid").agg(F.max(F.coalesce("hit", F.lit(10**6))).alias("worst"))
@@ -176,7 +194,7 @@ def _units(spark: SparkSession, d: str, column: str) -> DataFrame:
 
 
 def _companies(spark: SparkSession, d: str) -> DataFrame:
-    return S.questions(spark, d).select("qid", F.upper(F.substring_index(F.coalesce("doc", "qid"), "_", 1)).alias("company"))
+    return S.questions(spark, d).select("qid", S.company(F.col("doc"), F.col("qid")).alias("company"))
 
 
 #: Repetitions of a measure's interval and of a comparison's.
@@ -237,7 +255,7 @@ def paired_delta_values(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        first_hit_rank, recall_at_k, all_evidence_at_k, document_hit_at_k, rank_buckets_by_type, budget_window, budget_recall, context_cut, context_render, oracle_context,
+        first_hit_rank, recall_at_k, development_scan, development_recall, all_evidence_at_k, document_hit_at_k, rank_buckets_by_type, budget_window, budget_recall, context_cut, context_render, oracle_context,
         context_hit, text_coverage_at_k, union_coverage, window_pages, question_record, macro_recall, error_analysis, question_bootstrap, cluster_bootstrap, paired_delta,
         paired_delta_questions, paired_delta_values, reader_requests, context_statistics,
     )
@@ -298,12 +316,17 @@ _CONTEXTS = (
   k2 AS (SELECT qid, 'K2' AS kosul, string_agg('[doc: ' || doc || ', page: ' || page || ']' || chr(10) || array_to_string(w, ' '), chr(10) || chr(10) ORDER BY doc, page) AS context, sum(len(w))::BIGINT AS n_words,
     list({{'doc': doc, 'page': page}} ORDER BY doc, page) AS pages FROM k2w GROUP BY qid), ctx AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2)"""
 )
+
+def _recall_sql(hits: str) -> str:
+    parts = [f"SELECT 'recall@{k}' AS metric, sum(CASE WHEN hit <= {k} THEN 1 ELSE 0 END)::BIGINT AS num, count(*) AS den FROM {hits}" for k in (1, 5, 10, 20, 50)]
+    return f" SELECT * FROM ({' UNION ALL '.join(parts)} UNION ALL SELECT 'mrr', sum(coalesce(round(1e6 / hit), 0)::BIGINT)::BIGINT, count(*) FROM {hits})"
+
+
 SQL = {
     "first_hit_rank": _HITS + f" SELECT qid, ev, hit, {_BUCKET} AS bucket FROM hits",
-    "recall_at_k": _HITS
-    + " SELECT * FROM ("
-    + " UNION ALL ".join(f"SELECT 'recall@{k}' AS metric, sum(CASE WHEN hit <= {k} THEN 1 ELSE 0 END)::BIGINT AS num, count(*) AS den FROM hits" for k in (1, 5, 10, 20, 50))
-    + " UNION ALL SELECT 'mrr', sum(coalesce(round(1e6 / hit), 0)::BIGINT)::BIGINT, count(*) FROM hits)",
+    "recall_at_k": _HITS + _recall_sql("hits"),
+    "development_scan": f"""WITH {S.QUESTIONS} SELECT qid, coalesce(array_to_string(list_transform(evidence, lambda e: concat_ws(':', e.doc_name, e.evidence_page_num::VARCHAR)), ' '), '') AS pages FROM q WHERE NOT {S.LOCKED.format('qid')}""",
+    "development_recall": _HITS + f", dh AS (SELECT hits.* FROM hits SEMI JOIN (SELECT qid FROM q WHERE NOT {S.LOCKED.format('qid')}) USING (qid)) " + _recall_sql("dh"),
     "all_evidence_at_k": _HITS
     + ", w AS (SELECT qid, max(coalesce(hit, 1000000)) AS worst FROM hits GROUP BY qid) SELECT count(*) AS n, count(*) FILTER (WHERE worst <= 5) AS all_at_5, count(*) FILTER (WHERE worst <= 10) AS all_at_10, count(*) FILTER (WHERE worst <= 50) AS all_at_50 FROM w",
     "document_hit_at_k": _HITS

@@ -10,7 +10,8 @@ from quillspan.operators import grading
 from quillspan.plans import evaluation
 from quillspan.plans import shared as S
 from quillspan.plans.answer_sql import GOLD_TYPE, OK, UNIT, numbers_sql, parts_sql, rounded_sql, verdict_sql
-from quillspan.plans.answers import CELL, latest_success
+from quillspan.operators.ranking import ranked
+from quillspan.plans.answers import CELL, blind_assignment, latest_success
 from quillspan.sources.tables import table
 
 
@@ -77,11 +78,11 @@ def _graded(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "cevaplar", *CELL[1:]).where("model IS NOT NULL AND kosul IS NOT NULL AND prompt_surum IS NOT NULL").distinct()
     asked = _golds(spark, d).crossJoin(cells)  # a few cells, each for every question: the operator's own product
     a = asked.join(last, CELL, "left").withColumn("g", grading.grade(F.col("gold"), F.col("yanit"), F.col("question")))
-    return a.select(*CELL, "question_type", "doc", F.col("yanit").isNotNull().alias("answered"), F.col("g.kind").alias("gold_type"), F.col("g.correct").alias("correct"), "g.tolerant")
+    return a.select(*CELL, "question_type", "doc", "gold", "question", "yanit", F.col("yanit").isNotNull().alias("answered"), F.col("g.kind").alias("gold_type"), F.col("g.correct").alias("correct"), "g.tolerant")
 
 
 def graded_answers(spark: SparkSession, d: str) -> DataFrame:
-    return _graded(spark, d).drop("question_type", "doc")
+    return _graded(spark, d).drop("question_type", "doc", "gold", "question", "yanit")
 
 
 def for_judges(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +91,41 @@ def for_judges(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy(*CELL[1:], "gold_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def judge_items(spark: SparkSession, d: str) -> DataFrame:
+    """The answers that no rule can grade, one a row: what a judge is shown of question, gold, final answer and body (as md5)."""
+    g = _graded(spark, d).where("correct IS NULL AND answered")
+    shown = {"question": F.col("question"), "gold": F.col("gold"), "final": T.final_answer(F.col("yanit")), "body": T.without_sources(F.col("yanit"))}
+    return g.select(*CELL, *[F.md5(c).alias(f"{name}_md5") for name, c in shown.items()])
+
+
+def judge_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A balanced sample of graded answers to try a judge on: 4 correct, 3 wrong and 1 partial (near the gold number only), the
+    first by a hash of their key."""
+    grade = F.when(F.col("correct") == 1, "correct").when(F.col("tolerant") == 1, "partial").otherwise("wrong")
+    g = _graded(spark, d).where("correct IS NOT NULL AND answered").select(grade.alias("grade"), *CELL)
+    quota = F.when(F.col("grade") == "correct", 4).when(F.col("grade") == "wrong", 3).otherwise(1)
+    return ranked(g, ["grade"], [F.asc(F.sha2(F.concat_ws("|", *CELL), 256)), *map(F.asc, CELL)], 4).where(F.col("rank") <= quota)
+
+
+def blind_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Yes-or-no answers graded by place and letter alone, then joined with the key to their model and condition; answers
+    whose place and letter got no grade are counted as missing."""
+    key = blind_assignment(spark, d)
+    seen = latest_success(spark, d).select("kayit_no", T.verdict(T.final_answer(F.col("yanit"))).alias("said"))
+    sheet = key.join(seen, "kayit_no").select("place", "letter", "said")
+    golds = _golds(spark, d).where(T.gold_type(F.col("gold")) == "verdict").select(F.md5(F.concat_ws("|", F.lit("42"), "id")).alias("place"), T.verdict(F.trim("gold")).alias("gold"))
+    graded = sheet.join(golds, "place").select("place", "letter", F.coalesce((F.col("said") == F.col("gold")).cast("int"), F.lit(0)).alias("correct"))
+    return key.join(graded, ["place", "letter"], "left").groupBy("model", "kosul").agg(F.coalesce(F.sum("correct"), F.lit(0)).cast("bigint").alias("correct"), F.count("correct").alias("n"), F.count(F.when(F.col("correct").isNull(), 1)).alias("missing"))
+
+
+def locked_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy on development questions and on those of the held-out third of companies, and the difference, by cell."""
+    g = _graded(spark, d).where("correct IS NOT NULL").withColumn("held", S.locked(S.company(F.col("doc"), F.col("id"))))
+    mean = lambda held: F.avg(F.when(F.col("held") == held, F.col("correct")))
+    count = lambda held: F.count(F.when(F.col("held") == held, 1))
+    return g.groupBy(*CELL[1:]).agg(count(False).alias("n_development"), count(True).alias("n_locked"), F.round(mean(False), 6).alias("development"), F.round(mean(True), 6).alias("locked"), F.round(mean(True) - mean(False), 6).alias("drift"))
+
+
 def accuracy_table(spark: SparkSession, d: str) -> DataFrame:
     """Correct and all answers that rules can grade, by cell, kind of gold and kind of question; missing answers count as wrong."""
     g = _graded(spark, d).where("correct IS NOT NULL")
@@ -129,7 +165,7 @@ def verdict_distribution(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        number_extraction, answer_numbers, verdict_grades, number_grades, key_number_grades, key_number_evidence, gold_key_numbers, graded_answers, for_judges, accuracy_table, common_accuracy, context_accuracy,
+        number_extraction, answer_numbers, verdict_grades, number_grades, key_number_grades, key_number_evidence, gold_key_numbers, graded_answers, for_judges, judge_items, judge_sample, blind_scores, locked_drift, accuracy_table, common_accuracy, context_accuracy,
         accuracy_by_year, verdict_distribution,
     )
 }
@@ -193,6 +229,16 @@ SQL = {
     "gold_key_numbers": f"WITH s AS (SELECT kayit_no, answer FROM sorular WHERE {GOLD_TYPE} = 'key_number'), {numbers_sql('n', 's', 'kayit_no', 'answer')} SELECT key AS kayit_no, (row_number() OVER (PARTITION BY key ORDER BY place) - 1)::INT AS place, value * scale AS value, decimals, percent, scale FROM n WHERE {_COUNTS}",
     "graded_answers": f"{_GRADED} SELECT * EXCLUDE (doc, question_type) FROM graded",
     "for_judges": f"{_GRADED} SELECT {_CELL}, gold_type, count(*) AS n FROM graded WHERE correct IS NULL AND answered GROUP BY ALL",
+    "judge_items": f"""{_GRADED} SELECT g.id, g.kosul, g.model, g.prompt_surum, md5(q.question) AS question_md5, md5(q.answer) AS gold_md5, md5(a.final) AS final_md5, md5(a.body) AS body_md5
+        FROM graded g JOIN q ON q.qid = g.id JOIN ans a ON a.id = g.id AND a.kosul = g.kosul AND a.model = g.model AND a.prompt_surum = g.prompt_surum WHERE g.correct IS NULL AND g.answered""",
+    "judge_sample": f"""{_GRADED}, gr AS (SELECT CASE WHEN correct = 1 THEN 'correct' WHEN tolerant = 1 THEN 'partial' ELSE 'wrong' END AS grade, id, kosul, model, prompt_surum FROM graded WHERE correct IS NOT NULL AND answered)
+        SELECT *, row_number() OVER (PARTITION BY grade ORDER BY sha256(concat_ws('|', id, {_CELL})), id, {_CELL})::INT AS rank FROM gr QUALIFY rank <= CASE grade WHEN 'correct' THEN 4 WHEN 'wrong' THEN 3 ELSE 1 END""",
+    "blind_scores": f"""{_LATEST}, vg AS (SELECT qid AS id, {verdict_sql(_TRIMMED)} AS gold FROM q WHERE {GOLD_TYPE} = 'verdict')
+        SELECT model, kosul, sum(CASE WHEN {verdict_sql('final')} = gold THEN 1 ELSE 0 END)::BIGINT AS correct, count(gold) AS n, count(*) - count(gold) AS missing
+        FROM ans LEFT JOIN vg USING (id) GROUP BY ALL""",
+    "locked_drift": f"""{_GRADED}, gl AS (SELECT *, {S.LOCKED.format('id')} AS held FROM graded WHERE correct IS NOT NULL)
+        SELECT {_CELL}, count(*) FILTER (WHERE NOT held) AS n_development, count(*) FILTER (WHERE held) AS n_locked, round(avg(correct) FILTER (WHERE NOT held), 6) AS development, round(avg(correct) FILTER (WHERE held), 6) AS locked,
+        round(avg(correct) FILTER (WHERE held) - avg(correct) FILTER (WHERE NOT held), 6) AS drift FROM gl GROUP BY ALL""",
     "accuracy_table": f"{_GRADED} SELECT {_CELL}, gold_type, question_type, sum(correct)::BIGINT AS correct, count(*) AS n, count(*) FILTER (WHERE NOT answered) AS missing FROM graded WHERE correct IS NOT NULL GROUP BY ALL",
     "common_accuracy": f"""{_GRADED}, gg AS (SELECT id, model, kosul, arg_max(correct, prompt_surum) AS correct FROM graded WHERE correct IS NOT NULL AND answered GROUP BY ALL),
         full_ AS (SELECT id FROM gg GROUP BY id HAVING count(*) = (SELECT count(*) FROM (SELECT DISTINCT model, kosul FROM gg)))

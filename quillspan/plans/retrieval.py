@@ -88,6 +88,20 @@ def word_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("doc").agg(F.round(F.sum(F.col("n") * F.col("times")) / F.sum("times"), 6).alias("mean"), point(0.5).alias("median"), point(0.95).alias("p95"), low, F.max("n").alias("most"))
 
 
+#: The longest inputs of common embedding models.
+INPUT_LIMITS = (512, 8192)
+
+
+def chunk_length_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Words of chunks against the longest inputs of embedding models: median and 99th percentile (cut to whole words), maximum, and
+    how many chunks are longer. Chunks are counted by their number of words first."""
+    t = S.chunks(spark, d).where("text IS NOT NULL").groupBy(F.size(T.words(F.col("text"))).alias("n")).agg(F.count(F.lit(1)).alias("times"))
+    t = t.withColumn("most", F.explode(F.array(*map(F.lit, INPUT_LIMITS))))
+    point = lambda p: F.floor(F.round(F.percentile("n", F.lit(p), F.col("times")), 6)).cast("int")
+    over = F.sum(F.when(F.col("n") > F.col("most"), F.col("times")).otherwise(0))
+    return t.groupBy("most").agg(F.sum("times").alias("chunks"), point(0.5).alias("median"), point(0.99).alias("p99"), F.max("n").alias("longest"), over.alias("over"), F.round(over / F.sum("times"), 6).alias("share"))
+
+
 def document_labels(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "belgeler", "doc_name", "company", "doc_type", "doc_period").where("doc_name IS NOT NULL").distinct()
     label = T.document_label(F.col("company"), F.col("doc_name"), F.col("doc_type"), F.col("doc_period"))
@@ -239,7 +253,7 @@ def chunks_per_document(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        document_manifest, distinct_documents, parse_summary, jsonl_round_trip, token_counts, shingle_counts, word_percentiles, document_labels, chunk_variant_stats,
+        document_manifest, distinct_documents, parse_summary, jsonl_round_trip, token_counts, shingle_counts, word_percentiles, chunk_length_audit, document_labels, chunk_variant_stats,
         bm25_idf, bm25_pooled_top10, bm25_single_top10, bm25_labelled_top10, files_by_document, whole_json_round_trip, variant_store, overlap_mean, reproduction_check, dense_top10, dense_filtered_top10, ann_top10, ann_recall, vector_store, top100_ranking, ranking_export, rrf_fusion, rerank_depth50, overlap_at_50, chunks_per_document,
     )
 } | _chunk_queries
@@ -297,6 +311,9 @@ SQL = {
     "word_percentiles": f"""WITH {S.CHUNKS}, t AS (SELECT doc, len({_W})::INT AS n FROM chunk WHERE text IS NOT NULL)
         SELECT doc, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.95), 6) AS p95,
         list_sort(list(n))[floor(0.95 * (count(n) - 1))::INT + 1] AS p95_low, max(n) AS most FROM t GROUP BY doc""",
+    "chunk_length_audit": f"""WITH {S.CHUNKS}, t AS (SELECT len({_W})::INT AS n FROM chunk WHERE text IS NOT NULL)
+        SELECT most::INT AS most, count(*) AS chunks, floor(round(quantile_cont(n, 0.5), 6))::INT AS median, floor(round(quantile_cont(n, 0.99), 6))::INT AS p99, max(n) AS longest,
+        sum((n > most)::INT)::BIGINT AS over, round(sum((n > most)::INT) / count(*), 6) AS share FROM t, (VALUES (512), (8192)) AS l(most) GROUP BY most""",
     "document_labels": f"WITH {_LABELS} SELECT doc_name, label FROM labels",
     "chunk_variant_stats": "SELECT * FROM ("
     + " UNION ALL ".join(f"SELECT '{v}' AS variant, count(*) AS chunks, sum(n_words)::BIGINT AS words FROM ({_windows_sql(s, o)})" for v, (s, o) in chunking.VARIANTS.items())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators.ranking import latest_score, ranked
@@ -31,6 +31,19 @@ QUESTIONS = """q AS (SELECT financebench_id AS qid, kayit_no, doc_name AS doc, q
   WHERE financebench_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY financebench_id ORDER BY kayit_no) = 1)"""
 
 
+def company(doc: Column, qid: Column) -> Column:
+    """What stands before the first low line of the document's name (of the question's, where no document is given)."""
+    return F.upper(F.substring_index(F.coalesce(doc, qid), "_", 1))
+
+
+def locked(company: Column) -> Column:
+    """Whether a company belongs to the held-out third: by a hash of its name, so nothing is sorted or stored to split them."""
+    return F.substring(F.md5(F.concat_ws("|", F.lit("locked"), company)), 1, 4) < "5555"
+
+
+LOCKED = "left(md5(concat_ws('|', 'locked', upper(split_part(coalesce(doc, {0}), '_', 1)))), 4) < '5555'"
+
+
 def evidence(spark: SparkSession, d: str) -> DataFrame:
     """(qid, ev, doc, page, text): every evidence row counts, also the same page twice."""
     e = questions(spark, d).select("qid", F.posexplode("evidence").alias("ev", "e"))
