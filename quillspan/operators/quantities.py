@@ -163,9 +163,29 @@ def measure_of(exponents: Column) -> Column:
 CANONICAL = {"usd": (1.0, 0.0), "adet": (1.0, 0.0), "kwh": (1.0, 0.0), "gun": (1 / 24, 0.0), "oran": (1e4, 0.0)}
 
 
-def quantity(text: Column, question: Column, lang: Column) -> Column:
-    """struct(olcu, deger) of the quantity that ``text`` states; null where it states none."""
-    zero = lambda exponents: F.forall(exponents, lambda e: e == 0)
+def no_dimension(exponents: Column) -> Column:
+    return F.forall(exponents, lambda e: e == 0)
+
+
+def wanted_unit(question: Column) -> Column:
+    """struct(scale, exponents) that a question asks for: a null scale where it names no unit, and then the exponents of its subject."""
+
+    def asked(q: Column) -> Column:
+        subject = reduce(lambda rest, s: F.when(q.rlike(s[1]), s[0]).otherwise(rest), reversed(SUBJECTS), F.lit("money"))
+        implied = let(subject, lambda s: F.array(*[((s == d) | ((s == "power") & F.lit(d == "time"))).cast("int") for d in DIMENSIONS]))
+        unit = let(asked_unit(q), lambda w: F.struct(unit_of(w).alias("unit"), (F.size(w) > 0).alias("any")))
+        return let(unit, lambda u: F.struct(F.when(u["any"], u["unit"]["scale"]).alias("scale"), F.when(no_dimension(u["unit"]["exponents"]), implied).otherwise(u["unit"]["exponents"]).alias("exponents")))
+
+    return let(rewritten(question), asked)
+
+
+def nothing_wanted() -> Column:
+    """What a record without a question is taken to ask for."""
+    return F.struct(F.lit(None).cast("double").alias("scale"), F.array(*[F.lit(int(d == "money")) for d in DIMENSIONS]).alias("exponents"))
+
+
+def quantity(text: Column, wanted: Column, lang: Column) -> Column:
+    """struct(olcu, deger) of the quantity that ``text`` states where ``wanted`` is asked for; null where it states none."""
 
     def cleaned() -> Column:
         t = F.regexp_replace(F.regexp_replace(F.lower(text), r"[`*_>​]+", " "), NO_QUANTITY, " ")
@@ -177,18 +197,12 @@ def quantity(text: Column, question: Column, lang: Column) -> Column:
         before, number, after = (F.regexp_extract(t, rf"^(\D*?)({NUMBER})(\D*)$", k) for k in (1, 2, 3))
         return F.struct(before.alias("before"), number.alias("number"), unit_words(F.concat_ws(" ", before, after)).alias("words"))
 
-    def asked(q: Column) -> Column:
-        subject = reduce(lambda rest, s: F.when(q.rlike(s[1]), s[0]).otherwise(rest), reversed(SUBJECTS), F.lit("money"))
-        implied = let(subject, lambda s: F.array(*[((s == d) | ((s == "power") & F.lit(d == "time"))).cast("int") for d in DIMENSIONS]))
-        unit = let(asked_unit(q), lambda w: F.struct(unit_of(w).alias("unit"), (F.size(w) > 0).alias("any")))
-        return let(unit, lambda u: F.struct(F.when(u["any"], u["unit"]["scale"]).alias("scale"), F.when(zero(u["unit"]["exponents"]), implied).otherwise(u["unit"]["exponents"]).alias("exponents")))
-
     def value(p: Column, wanted: Column) -> Column:
         # A number alone, or with nothing but a dollar sign, takes the scale that was asked for; otherwise its own.
         signed = F.forall(p["words"], lambda w: w == "$") & (F.element_at(wanted["exponents"], 1) == 1)
         own = unit_of(p["words"])
         scale = F.when(F.size(p["words"]) == 0, wanted["scale"]).when(signed, F.coalesce(wanted["scale"], F.lit(1.0))).otherwise(own["scale"])
-        measure = let(own["exponents"], lambda e: measure_of(F.when(zero(e), wanted["exponents"]).otherwise(e)))
+        measure = let(own["exponents"], lambda e: measure_of(F.when(no_dimension(e), wanted["exponents"]).otherwise(e)))
         canonical = F.create_map(*[x for k, (s, o) in CANONICAL.items() for x in (F.lit(k), F.struct(F.lit(s).alias("s"), F.lit(o).alias("o")))])
         number = plain_number(p["number"], lang).cast("double") * F.when(p["before"].contains("-"), -1).otherwise(1)
         return let(
@@ -196,7 +210,7 @@ def quantity(text: Column, question: Column, lang: Column) -> Column:
             lambda x: let(canonical[x["olcu"]], lambda c: F.struct(x["olcu"].alias("olcu"), F.round(x["v"] * c["s"] + c["o"]).cast("bigint").alias("deger"))),
         )
 
-    stated = let(let(cleaned(), parts), lambda p: F.when(p["number"] != "", let(let(rewritten(question), asked), lambda w: value(p, w))))
+    stated = let(let(cleaned(), parts), lambda p: F.when(p["number"] != "", value(p, wanted)))
     return let(stated, lambda r: F.when(r["deger"].isNotNull(), r))
 
 
@@ -210,13 +224,14 @@ def stated_quantities(questions: DataFrame, answers: DataFrame) -> DataFrame:
     """(tablo, kayit_no, olcu, deger) of both tables. An answer's question is that of the record with its id; the
     questions are reduced to one row an id before the join, so repeated records multiply nothing."""
     asked = questions.where("answer IS NOT NULL").select(F.lit("sorular").alias("tablo"), "kayit_no", "answer", "question")
-    own = asked.select("tablo", "kayit_no", quantity(F.col("answer"), F.coalesce("question", F.lit("")), F.lit("en")).alias("q"))
-    first = questions.where("financebench_id IS NOT NULL").groupBy(F.col("financebench_id").alias("id")).agg(F.min("question").alias("question"))
+    own = asked.select("tablo", "kayit_no", let(wanted_unit(F.coalesce("question", F.lit(""))), lambda w: quantity(F.col("answer"), w, F.lit("en"))).alias("q"))
+    first = questions.where("financebench_id IS NOT NULL").groupBy(F.col("financebench_id").alias("id")).agg(F.coalesce(F.min("question"), F.lit("")).alias("question"))
+    first = first.withColumn("wanted", wanted_unit(F.col("question")))  # read once a question, not once an answer
     marked = answers.select("kayit_no", "id", "yanit").where(F.col("yanit").rlike(r"(?i)final\s+answer"))
     joined = marked.join(first, "id", "left").withColumn("question", F.coalesce("question", F.lit("")))
     # The language is that of the text without the mark, the sources, the question repeated and short quotations.
     text = F.regexp_replace(F.regexp_replace("yanit", r"(?i)final\s+answer", " "), r"(?im)^\W*sources?\b.*$|'[^'\n]{8,60}'", " ")
     asked_in = F.when(F.col("question").rlike("[ışğİŞĞ]|şirketinin|yılı"), "tr").otherwise("en")
-    stated = let(language(F.replace(text, F.col("question"), F.lit(" ")), asked_in), lambda lang: quantity(final_statement(F.col("yanit")), F.col("question"), lang))
+    stated = let(language(F.replace(text, F.col("question"), F.lit(" ")), asked_in), lambda lang: quantity(final_statement(F.col("yanit")), F.coalesce("wanted", nothing_wanted()), lang))
     theirs = joined.select(F.lit("cevaplar").alias("tablo"), "kayit_no", stated.alias("q"))
     return own.unionByName(theirs).where("q IS NOT NULL").select("tablo", "kayit_no", "q.olcu", "q.deger")

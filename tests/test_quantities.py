@@ -42,7 +42,7 @@ CASES = [
 
 def test_grammar(spark):
     rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(CASES)], "i int, t string, q string, lang string")
-    found = {r["i"]: r["x"] for r in rows.select("i", q.quantity(F.col("t"), F.col("q"), F.col("lang")).alias("x")).collect()}
+    found = {r["i"]: r["x"] for r in rows.select("i", q.quantity(F.col("t"), q.wanted_unit(F.col("q")), F.col("lang")).alias("x")).collect()}
     for i, (text, question, _, measure, value) in enumerate(CASES):
         got = (found[i]["olcu"], found[i]["deger"]) if found[i] else (None, None)
         assert got == (measure, value), (text, question, got)
