@@ -234,4 +234,6 @@ def stated_quantities(questions: DataFrame, answers: DataFrame) -> DataFrame:
     asked_in = F.when(F.col("question").rlike("[ışğİŞĞ]|şirketinin|yılı"), "tr").otherwise("en")
     stated = let(language(F.replace(text, F.col("question"), F.lit(" ")), asked_in), lambda lang: quantity(final_statement(F.col("yanit")), F.coalesce("wanted", nothing_wanted()), lang))
     theirs = joined.select(F.lit("cevaplar").alias("tablo"), "kayit_no", stated.alias("q"))
-    return own.unionByName(theirs).where("q IS NOT NULL").select("tablo", "kayit_no", "q.olcu", "q.deger")
+    # Spread instead of filtered: a filter on q would be pushed below and read each text twice.
+    spread = lambda df: df.select("tablo", "kayit_no", F.inline(F.array_compact(F.array("q"))))
+    return spread(own).unionByName(spread(theirs))
