@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -264,6 +265,50 @@ def test_pruned_search_equals_brute_force(spark):
     assert sorted((r["query"], r["chunk_id"], r["rank"]) for r in got.collect()) == sorted(want)
 
 
+def rows_shuffled(spark) -> int:
+    """Rows that all stages so far have written for a shuffle."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    empty = spark.sparkContext._jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, empty)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_search_over_all_texts_sends_few_rows(spark):
+    """Terms that nearly half of the texts hold: neither a row a term of a text nor a row a query and text is shuffled."""
+    words = [f"w{i}" for i in range(40)]
+    rng = np.random.default_rng(8)
+    texts = spark.createDataFrame([(f"c{i}", " ".join(rng.choice(words, 16, replace=False))) for i in range(1500)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(rng.choice(words, 6, replace=False))) for i in range(20)], "query int, question string")
+    before = rows_shuffled(spark)
+    assert len(lexical.bm25(asked, texts).collect()) == 200
+    assert rows_shuffled(spark) - before < 2 * 1500  # was 37,798 when postings and hits were shuffled
+
+
+def test_search_in_pieces_and_blocks(spark):
+    """Equal texts and equal questions, words twice in a question, several pieces and blocks: SQL's order, scores and ties."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(f"c{i}", " ".join(rng.choice(words, rng.integers(1, 6)))) for i in rng.permutation(300)] + [("Ü", "W1-w2, W1"), ("none", "...")]
+    asked = [(i, " ".join(rng.choice(words, 3))) for i in range(15)] + [(40, "w3 w1"), (41, "W1 w3?"), (42, "w1 w1 w3 other"), (43, "other")]
+    split = {c: re.findall("[a-z0-9]+", t.lower()) for c, t in texts}
+    n, average = 301, sum(map(len, split.values())) / 301
+    idf = {w: math.log((n - df + 0.5) / (df + 0.5)) for w in words for df in [sum(w in t for t in split.values())] if df < n / 2}
+    want = {}
+    for q, question in asked:
+        terms = [w for w in re.findall("[a-z0-9]+", question.lower()) if w in idf]
+        score = {c: round(sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / average)) for w in terms), 6) for c, t in split.items() if set(t) & set(terms)}
+        want |= {(q, k + 1): (c, score[c]) for k, c in enumerate(sorted(score, key=lambda c: (-score[c], c))[:4])}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = lexical.bm25(spark.createDataFrame(asked, "query int, question string"), spark.createDataFrame(texts, "chunk_id string, text string"), 4, piece=20, block=5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and {(r["query"], r["rank"]): (r["chunk_id"], pytest.approx(r["score"], abs=1e-9)) for r in got} == want
+    nothing = spark.createDataFrame([], "chunk_id string, text string")
+    assert lexical.bm25(spark.createDataFrame(asked, "query int, question string"), nothing).count() == 0
+
+
 def test_containment_by_hand(spark):
     words = [f"w{i}" for i in range(20)]
     examples = spark.createDataFrame([("a", " ".join(words[:12])), ("b", "short"), ("c", None)], "id string, text string")
